@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .simhash import op6_simhash
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op6_simhash": op6_simhash,
 }
 
 SQL = {
