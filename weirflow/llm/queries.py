@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .archives import OP8_SQL, op8_archive
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .sharding import OP5_SQL, op5_hash_tree
 from .simhash import op6_simhash
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_hash_tree": op5_hash_tree,
     "op6_simhash": op6_simhash,
+    "op8_archive": op8_archive,
 }
 
 SQL = {
     "op1_decontaminate": OP1_SQL,
+    "op5_hash_tree": OP5_SQL,
+    "op8_archive": OP8_SQL,
 }
