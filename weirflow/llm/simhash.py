@@ -136,7 +136,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, mean:
         sizes = keyed.groupBy("mask", "value").count().where(F.col("count") > 1)
         sizes = written(sizes.where(F.col("count") > most).select("mask", "value"), "simhash-large")
         masks = [r[0] & (1 << 64) - 1 for r in sizes.select("mask").distinct().toLocalIterator()]
-        small = keyed.join(F.broadcast(sizes), ["mask", "value"], "left_anti") if masks else keyed
+        small = keyed.join(sizes, ["mask", "value"], "left_anti") if masks else keyed
         shards = small.groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         made = arrow_map(shards.select("fps"), trees, "u long, v long")
         out = made if out is None else out.union(made)
@@ -145,8 +145,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, mean:
         # Members of a large shard still agree in at least one of radius + 1 parts of their free bits.
         children = [(signed(m), signed(m | p)) for m in masks for p in parts(~m & (1 << 64) - 1, radius + 1)]
         deeper = spark.createDataFrame(children, "mask long, child long")
-        large = keyed.join(F.broadcast(sizes), ["mask", "value"], "left_semi")
-        keyed = written(large.join(F.broadcast(deeper), "mask").select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value")), "simhash-deeper")
+        large = keyed.join(sizes, ["mask", "value"], "left_semi")
+        keyed = written(large.join(deeper, "mask").select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value")), "simhash-deeper")
 
 
 def components(edges: DataFrame) -> DataFrame:
