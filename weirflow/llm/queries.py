@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .archives import OP8_SQL, op8_archive
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .media import op2_webp
 from .quality import op4_quality
 from .sharding import OP5_SQL, op5_hash_tree
 from .simhash import op6_simhash
@@ -11,6 +12,7 @@ from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_webp": op2_webp,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_hash_tree": op5_hash_tree,
