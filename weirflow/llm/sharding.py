@@ -46,16 +46,61 @@ def tree(shards: int = SHARDS, base: int = BASE, region: int = REGION, rack: int
     return Tree(tuple(tuple(tuple(r) for r in cut(x, rack)) for x in full) + ((((1.0,),),) * max(0, shards - base)))
 
 
-def shard_of(key: Column, tree: Tree) -> Column:
-    """The shard of a key; a null key counts as the text null."""
-    key, node = F.coalesce(key.cast("string"), F.lit("null")), F.lit(0)
-    for name, level in zip(("region", "rack", "shard"), tree.levels, strict=True):
-        weights = F.element_at(F.array(*[F.array(*map(F.lit, w)) for w in level]), node + 1)
-        first = F.element_at(F.array(*map(F.lit, accumulate((len(w) for w in level), initial=0))), node + 1)
-        label = F.concat(F.lit(f"/{name}/"), node.cast("string"), F.lit("/"))
-        draws = F.transform(weights, lambda w, j: -F.log((F.conv(F.substring(F.md5(F.concat(key, label, j.cast("string")).cast("binary")), 1, 13), 16, 10).cast("bigint") + 1) / F.lit(2.0**52)) / w)  # noqa: B023
-        node = first + (F.array_position(draws, F.array_min(draws)).cast("int") - 1)
-    return node.cast("int")
+M32 = (1 << 32) - 1
+
+
+def mixed(x):
+    """Bijective mixing of 32 bits, of an int, Bits or Sql; products stay below 2 ** 63."""
+    x = ((x ^ (x >> 16)) * 0x45D9F3B) & M32
+    x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & M32
+    return x ^ (x >> 16)
+
+
+class Bits:
+    """Integer operations spelled as Spark columns."""
+
+    def __init__(self, column: Column):
+        self.column = column
+
+    def __xor__(self, other: Bits | int) -> Bits:
+        return Bits(self.column.bitwiseXOR(other.column if isinstance(other, Bits) else F.lit(other).cast("bigint")))
+
+    def __and__(self, other: int) -> Bits:
+        return Bits(self.column.bitwiseAND(F.lit(other).cast("bigint")))
+
+    def __rshift__(self, n: int) -> Bits:
+        return Bits(F.shiftright(self.column, n))
+
+    def __mul__(self, n: int) -> Bits:
+        return Bits(self.column * F.lit(n).cast("bigint"))
+
+    def __add__(self, n: int) -> Bits:
+        return Bits(self.column + F.lit(n).cast("bigint"))
+
+
+def name_of(level: int, node, child: int):
+    """32 bits that name a child, from its level (0 to 2), its node's number in that level and its own."""
+    return (node * 0x3779B1 + (level * 0x10001 + child * 0x9E35 + 1)) & M32
+
+
+def with_shard(rows: DataFrame, key: Column, tree: Tree, out: str, key_column: str = "shard_key") -> DataFrame:
+    """`rows` with the shard of a 64-bit key in `out`; a null key counts as -1. Its hash is kept in `key_column`."""
+    if key_column not in rows.columns:
+        key = Bits(F.coalesce(key.cast("bigint"), F.lit(-1).cast("bigint")))
+        rows = rows.withColumn(key_column, mixed((key & M32) ^ mixed(((key >> 32) & M32) ^ 0x5BD1E995)).column)
+    node = F.lit(0).cast("bigint")
+    for level, nodes in enumerate(tree.levels):
+        first = F.element_at(F.array(*map(F.lit, accumulate((len(w) for w in nodes), initial=0))), node.cast("int") + 1)
+        draws = []
+        for j in range(max(map(len, nodes))):
+            u = (mixed(Bits(F.col(key_column)) ^ name_of(level, Bits(node), j)).column + 1) / F.lit(2.0**32)
+            weights = [w[j] if j < len(w) else None for w in nodes]
+            weight = F.lit(weights[0]) if len(set(weights)) == 1 else F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), node.cast("int") + 1)
+            draws.append(-F.log(u) / weight)
+        # A child that a node lacks draws null, which is no minimum.
+        rows = rows.withColumn(f"{out}_{level}", first + (F.array_position(F.array(*draws), F.array_min(F.array(*draws))).cast("int") - 1))
+        node = F.col(f"{out}_{level}").cast("bigint")
+    return rows.withColumn(out, F.col(f"{out}_2").cast("int")).drop(f"{out}_0", f"{out}_1", f"{out}_2")
 
 
 def with_slots(rows: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
@@ -84,19 +129,21 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, id: str = "doc_id", text:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard per row of `docs`; shard and grown_shard follow from id and
     the count of shards alone.
 
-    Only `id` and `text` are read, so other columns may have any name. A null text has no bytes; a null id counts as the
-    text null, and a hot null is one shard's; rows that repeat an id share its shard and have slots of their own. Slots
+    Only `id`, 64 bits, and `text` are read, so other columns may have any name. A null text has no bytes; null ids count
+    as -1 and so share a shard; rows that repeat an id share its shard and have slots of their own. Slots
     follow id (nulls first), checksum and size. An empty table gives none.
     """
-    key, data = docs[id], F.coalesce(docs[text], F.lit("")).cast("binary")
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(
-        key.cast("long").alias("doc_id"),
+        F.col(id).cast("long").alias("doc_id"),
         (F.octet_length(data) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(key, tree(shards)).alias("shard"),
-        shard_of(key, tree(shards + 1)).alias("grown_shard"),
     )
+    # Texts are read once: dealing out by ranges samples its input first.
+    rows = written(rows, "shard-rows")
+    rows = with_shard(rows, F.col("doc_id"), tree(shards), "shard")
+    rows = with_shard(rows, F.col("doc_id"), tree(shards + 1), "grown_shard")
     return with_slots(rows, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
@@ -104,15 +151,25 @@ def op5_hash_tree(spark, sf_dir: str) -> DataFrame:
     return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shard_sql(key: str, shards: Tree) -> str:
-    """The shard of `key`, a text, in DuckDB's SQL."""
-    node = "0"
-    for name, level in zip(("region", "rack", "shard"), shards.levels, strict=True):
-        firsts = list(accumulate((len(w) for w in level), initial=0))
-        u = f"(cast('0x' || substr(md5({key} || '/{name}/' || cast(x.node AS VARCHAR) || '/' || cast(j - 1 AS VARCHAR)), 1, 13) AS BIGINT) + 1) / 4503599627370496.0"
-        draws = f"list_transform(range(1, len({level}[x.node + 1]) + 1), lambda j: -ln({u}) / {level}[x.node + 1][j])"
-        node = f"(SELECT {firsts}[x.node + 1] + list_position(d, list_min(d)) - 1 FROM (SELECT x.node, {draws} AS d FROM (SELECT {node} AS node) x) x)"
-    return node
+class Sql(str):
+    """Integer operations spelled as DuckDB's SQL."""
+
+    __xor__ = lambda a, b: Sql(f"xor({a}, cast({b} AS BIGINT))")
+    __and__ = lambda a, b: Sql(f"({a} & {b})")
+    __rshift__ = lambda a, b: Sql(f"({a} >> {b})")
+    __mul__ = lambda a, b: Sql(f"({a} * {b})")
+    __add__ = lambda a, b: Sql(f"({a} + {b})")
+
+
+def shard_sql(table: str, shards: Tree, out: str) -> str:
+    """`table`, which has the key's hash k, with the shard in `out`."""
+    sql = f"SELECT *, cast(0 AS BIGINT) AS node FROM {table}"
+    for level, nodes in enumerate(shards.levels):
+        firsts = list(accumulate((len(w) for w in nodes), initial=0))
+        draw = lambda j: f"-ln(({mixed(Sql('k') ^ name_of(level, Sql('node'), j))} + 1) / 4294967296.0) / {nodes}[node + 1][{j + 1}]"  # noqa: B023, E731
+        draws = ", ".join(map(draw, range(max(map(len, nodes)))))
+        sql = f"SELECT * EXCLUDE (node, d), cast({firsts}[node + 1] + list_position(d, list_min(d)) - 1 AS BIGINT) AS node FROM (SELECT *, [{draws}] AS d FROM ({sql}))"
+    return f"SELECT * EXCLUDE (node), cast(node AS INTEGER) AS {out} FROM ({sql})"
 
 
 def _crc_table() -> list[int]:
@@ -124,15 +181,17 @@ def _crc_table() -> list[int]:
     return out
 
 
+_KEY = mixed((Sql("id") & M32) ^ mixed(((Sql("id") >> 32) & M32) ^ 0x5BD1E995))
+
 OP5_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(cast(doc_id AS VARCHAR), 'null') AS key FROM documents),
+WITH d AS (SELECT doc_id, coalesce(doc_id, -1) AS id, coalesce(text, '') AS text FROM documents),
 crc AS (
-  SELECT doc_id, key, strlen(text) AS bytes,
+  SELECT doc_id, {_KEY} AS k, strlen(text) + {ROW_BYTES} AS size,
          xor(list_reduce(list_transform(range(1, strlen(text) + 1), lambda i: cast('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)),
              lambda c, b: xor({_crc_table()}[(xor(c, b) & 255) + 1], c >> 8), cast(4294967295 AS BIGINT)), cast(4294967295 AS BIGINT)) AS crc
-  FROM (SELECT doc_id, key, text, hex(encode(text)) AS h FROM d)),
-s AS (SELECT doc_id, bytes + {ROW_BYTES} AS size, crc, {shard_sql('key', tree(SHARDS))} AS shard, {shard_sql('key', tree(SHARDS + 1))} AS grown FROM crc)
-SELECT doc_id, cast(size AS BIGINT) AS size, cast(crc AS BIGINT) AS text_crc32, 'key' AS law, cast(shard AS INTEGER) AS shard,
-       cast(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS BIGINT) AS slot, cast(grown AS INTEGER) AS grown_shard
+  FROM (SELECT doc_id, id, text, hex(encode(text)) AS h FROM d)),
+s AS ({shard_sql(f"({shard_sql('crc', tree(SHARDS), 'shard')})", tree(SHARDS + 1), "grown")})
+SELECT doc_id, cast(size AS BIGINT) AS size, cast(crc AS BIGINT) AS text_crc32, 'key' AS law, shard,
+       cast(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS BIGINT) AS slot, grown AS grown_shard
 FROM s
 """
