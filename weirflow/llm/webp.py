@@ -231,7 +231,7 @@ def literal_runs(bits: Bits, group: list[Code], out: np.ndarray, width: int) ->
                 chain.append(q)
             c = np.array(chain, np.int32)
             c = np.stack([c, step[c]], axis=1).ravel()
-            c = np.stack([c, two[c[::2]], step[two[c[::2]]]], axis=1) if False else np.stack([c.reshape(-1, 2), two[c].reshape(-1, 2)], axis=1).ravel()
+            c = np.stack([c.reshape(-1, 2), two[c].reshape(-1, 2)], axis=1).ravel()
             c = np.stack([c.reshape(-1, 4), four[c].reshape(-1, 4)], axis=1).ravel()[: count - at]
             ends = np.flatnonzero(stop[c])
             if len(ends):
