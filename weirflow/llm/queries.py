@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .archives import OP8_SQL, op8_archive
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .licenses import OP9_SQL, op9_licenses
 from .media import op2_webp
 from .quality import op4_quality
 from .sharding import OP5_SQL, op5_hash_tree
@@ -18,10 +19,12 @@ QUERIES = {
     "op5_hash_tree": op5_hash_tree,
     "op6_simhash": op6_simhash,
     "op8_archive": op8_archive,
+    "op9_licenses": op9_licenses,
 }
 
 SQL = {
     "op1_decontaminate": OP1_SQL,
     "op5_hash_tree": OP5_SQL,
     "op8_archive": OP8_SQL,
+    "op9_licenses": OP9_SQL,
 }
