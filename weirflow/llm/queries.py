@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .archives import OP8_SQL, op8_archive
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .html import op10_html
 from .licenses import OP9_SQL, op9_licenses
 from .media import op2_webp
 from .quality import op4_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op8_archive": op8_archive,
     "op9_licenses": op9_licenses,
+    "op10_html": op10_html,
 }
 
 SQL = {
