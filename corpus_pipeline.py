@@ -1,12 +1,67 @@
-"""The corpus pipeline: documents in, sharded training documents out."""
+"""The corpus pipeline: documents in, sharded training documents out.
 
-STAGES: list = []
+Quality classifier, SimHash near-duplicates, benchmark decontamination, mixing to target weights, sharding. Each stage
+takes the documents that the one before kept, and drops those that it decides against; the last adds their shards.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weirflow.llm.common import written
+from weirflow.llm.decontaminate import without_items
+from weirflow.llm.mixing import mixture
+from weirflow.llm.quality import accepted
+from weirflow.llm.sharding import SHARDS, tree, with_shard
+from weirflow.llm.simhash import one_of_each_group
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbours' vote accepts; the labels are those of the documents at hand."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    return one_of_each_group(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the target shares by source, language and topic."""
+    return mixture(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and, of one shard more, grown_shard."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("shard_id"), F.struct("*").alias("shard_row"))
+    rows = with_shard(rows, F.col("shard_id"), tree(SHARDS), "shard")
+    rows = with_shard(rows, F.col("shard_id"), tree(SHARDS + 1), "grown_shard")
+    return rows.select("shard_row.*", "shard", "grown_shard")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
+    ("sharding", shard),
+]
+
+#: The votes of nearest neighbours and XXH64 have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents table."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to the documents table; each but the last is written, and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, "pipeline-" + name.split(" ")[0].lower())
     return docs
