@@ -79,9 +79,10 @@ def _window(f: str, size: int, rows: str = _PAIRS) -> str:
 # Element-wise
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS revenue FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, cast(cast(l_extendedprice AS DECIMAL(12, 2)) * (1 - cast(l_discount AS DECIMAL(4, 2))) AS DOUBLE) AS revenue FROM lineitem")
 def map_revenue(spark, d):
-    revenue = lambda r: [r.l_orderkey, r.l_linenumber, F.round(r.l_extendedprice * (1 - r.l_discount), 2).alias("revenue")]
+    money = lambda r: r.l_extendedprice.cast("decimal(12,2)") * (1 - r.l_discount.cast("decimal(4,2)"))
+    revenue = lambda r: [r.l_orderkey, r.l_linenumber, money(r).cast("double").alias("revenue")]
     return table(d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount").add(Map(revenue))
 
 

@@ -31,6 +31,9 @@ NAMED: dict[str, Callable[[Column], Column]] = {
 }
 Kernel = str | Callable[[Column, Column], Column]
 
+#: A key with more records in a bag has its count windows numbered in many tasks.
+HOT_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Python:
@@ -62,6 +65,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return joined.withColumn("rn", F.col("rn_row") + F.col("rn_from")).drop("rn_place", "rn_part", "rn_row", "rn_of", "rn_from", *names)
 
 
+def hot(df: DataFrame) -> bool:
+    """Whether a key has more than HOT_ROWS records; they are counted before they are shuffled."""
+    return not df.groupBy("key").count().where(F.col("count") > HOT_ROWS).isEmpty()
+
+
 @dataclass(frozen=True)
 class ReduceByKey(Operator):
     """Records (key, val) to one for each key."""
@@ -69,9 +77,9 @@ class ReduceByKey(Operator):
     kernel: Kernel | Python
     structures = frozenset((BAG,))
 
-    def window(self, size: int, order_by: str = "seq", split: bool = False) -> WindowByKey:
-        """Over each `size` records of a key, in order of a column. What is left at the end is a window too. `split`: for
-        bags in which a few keys hold most records."""
+    def window(self, size: int, order_by: str = "seq", split: bool | None = None) -> WindowByKey:
+        """Over each `size` records of a key, in order of a column. What is left at the end is a window too. `split`: whether
+        one key's records of a bag are numbered by many tasks; None: if a key has more than HOT_ROWS, which is counted first."""
         return WindowByKey(self.kernel, size, order_by, split)
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -114,7 +122,7 @@ class WindowByKey(Operator):
     kernel: Kernel | Python
     size: int
     order_by: str = "seq"
-    split: bool = False
+    split: bool | None = None
     structures = BOTH
 
     def __post_init__(self):
@@ -126,7 +134,7 @@ class WindowByKey(Operator):
             from ..streaming.count_windows import windows
 
             return windows(df, self)
-        if self.split:
+        if self.split or self.split is None and hot(df):
             rows = numbered(df, ["key"], [self.order_by])
         else:
             rows = df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(self.order_by)) - 1)

@@ -136,8 +136,6 @@ class Drain(Sink):
         return collected(df)
 
 
-
-
 def spooled(df: DataFrame, order: str, parts: int = 4) -> str:
     """Write a bag's rows to a new folder for ReadStream, in `parts` files by ranges of a numeric column, lowest first."""
     from pyspark.sql import functions as F
