@@ -2,7 +2,8 @@
 converted to WARC records with identifiers, timestamps, types and digests.
 
 Files are written and read by Spark, so they may lie in any store. A file holds at most FILE_RECORDS records, and one is
-read as a whole, compressed, by one task; its records are then taken from the stream one by one.
+read as a whole, compressed, by one task; its records are then taken from the stream one by one. A file's bytes are
+those of one partition of the input at most. Payloads are bytes, of any encoding.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
-ARC_ROWS = "page_id long, url string, ip string, date string, mime string, status int, arc_version int, payload string, payload_bytes long, digest binary"
+ARC_ROWS = "page_id long, url string, ip string, date string, mime string, status int, arc_version int, payload binary, payload_bytes long, digest binary"
 WARC_ROWS = "page_id long, url string, record_id string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean"
 
 
@@ -46,16 +47,15 @@ class Stream:
         if data[:2] != b"\x1f\x8b":
             yield data
             return
-        at = 0
-        z = zlib.decompressobj(31)
-        while at < len(data):
-            yield z.decompress(data[at : at + step])
-            at += step
-            while z.eof and (z.unused_data or at < len(data)):
-                rest, z = z.unused_data or data[at : at + step], zlib.decompressobj(31)
-                if rest is data[at : at + step]:
-                    at += step
-                yield z.decompress(rest)
+        at, rest, z = 0, b"", None
+        while rest or at < len(data):
+            if not rest:
+                rest, at = data[at : at + step], at + step
+            z = z or zlib.decompressobj(31)
+            yield z.decompress(rest, OUT_BYTES)
+            rest, z = (z.unused_data, None) if z.eof else (z.unconsumed_tail, z)
+        if z:
+            yield z.flush()
 
     def _fill(self) -> bool:
         part = next(self.parts, None)
@@ -136,6 +136,11 @@ def http_parts(doc: bytes) -> tuple[int | None, dict[str, str], bytes]:
     return int(lines[0].split(" ")[1]), {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, body
 
 
+def page_record_id(page_id: int | None, url: str | None, digest: bytes) -> str:
+    """Of a page's record; a page without an id goes by its URL."""
+    return record_id(page_id, digest.hex()) if page_id is not None else record_id("url", url, digest.hex())
+
+
 def record_id(*parts) -> str:
     """A UUID (version 5 layout) that the parts decide."""
     h = bytearray(hashlib.sha1("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")).digest()[:16])
@@ -160,11 +165,11 @@ def warc_record(row: dict) -> bytes:
         f"WARC-Type: {'response' if row['refers_to'] is None else 'revisit'}",
         *([f"WARC-Target-URI: {row['url']}"] if row["url"] is not None else []),
         f"WARC-Date: {warc_date(row['date'])}",
-        f"WARC-Record-ID: {record_id(row['page_id'], row['url'], digest.hex())}",
+        f"WARC-Record-ID: {page_record_id(row['page_id'], row['url'], digest)}",
         f"WARC-IP-Address: {row['ip']}",
         f"WARC-Payload-Digest: sha1:{b32(digest)}",
         f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).digest())}",
-        *([f"WARC-Profile: {REVISIT}", f"WARC-Refers-To-Page: {row['refers_to']}"] if row["refers_to"] is not None else []),
+        *([f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {page_record_id(row['refers_to'], None, digest)}", f"WARC-Refers-To-Page: {row['refers_to']}"] if row["refers_to"] is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -209,16 +214,16 @@ def files(kind: str, blocks: Iterator[tuple], first, record) -> Iterator[bytes]:
 
 
 def emitted(values: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
-    """Batches of about OUT_BYTES of the text column that Spark's writer takes."""
+    """Batches of about OUT_BYTES."""
     rows, size = [], 0
     for x in values:
         rows.append(x)
         size += len(x)
         if size >= OUT_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).cast(pa.string())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
             rows, size = [], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()).cast(pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
 
 def gathered(rows: Iterable[dict], schema: T.StructType, size=lambda r: len(r.get("payload") or "")) -> Iterator[pa.RecordBatch]:
@@ -239,11 +244,18 @@ def write_arc(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "u
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(b["id"].to_pylist(), b["url"].to_pylist(), b["html"].cast(pa.binary()).to_pylist(), strict=True))
+        rows = (r for b in batches for r in zip(b["id"].to_pylist(), b["url"].to_pylist(), b["html"].to_pylist(), strict=True))
         yield from emitted(files("arc", rows, arc_version_block, lambda v, name, at, r: arc_record(v, name, at, r[0], r[1], r[2] or b"")))
 
-    lines = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html")).mapInArrow(run, "value string")
-    lines.write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\n").option("compression", "gzip").text(path)
+    read = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("binary").alias("html"))
+    write_lines(read.mapInArrow(run, "value binary"), path, "\n")
+
+
+def write_lines(lines: DataFrame, path: str, end: str) -> None:
+    """Gzip files of a binary column's values as they are, each followed by `end`. Spark's text writer writes a string's
+    bytes, so the cast keeps those that are no UTF-8."""
+    text = lines.select(F.col("value").cast("string"))
+    text.write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", end).option("compression", "gzip").text(path)
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -264,7 +276,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
                         yield {
                             "page_id": int(page) if page else None, "url": None if head["URL"] == "-" else head["URL"], "ip": head["IP-address"],
                             "date": head["Archive-date"], "mime": head["Content-type"], "status": status, "arc_version": version,
-                            "payload": body.decode("utf-8", "replace") if payloads else None, "payload_bytes": len(body), "digest": hashlib.sha1(body).digest(),
+                            "payload": body if payloads else None, "payload_bytes": len(body), "digest": hashlib.sha1(body).digest(),
                         }
 
         yield from gathered(rows(), schema)
@@ -291,7 +303,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         rows = (r for b in batches for at in range(0, b.num_rows, 64) for r in b.slice(at, 64).to_pylist())
         yield from emitted(files("warc", rows, lambda v, name: warc_info(name), lambda v, name, at, r: warc_record(r)))
 
-    records.mapInArrow(run, "value string").write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    write_lines(records.mapInArrow(run, "value binary"), path, "\r\n\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
