@@ -24,6 +24,8 @@ SHINGLE = 4
 SHARD_MEAN = 64
 #: A larger shard is dealt out by further blocks of its free bits. Over 2 ** 14, so that 14 free bits always fit.
 SHARD_MOST = 20_000
+#: Ids up to which they are broadcast, 8 bytes each, to remove their rows: 16 MB as a hash table. More are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -184,16 +186,19 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return fps.join(labels, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+def one_of_each_group(docs: DataFrame, *, most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
     """The rows of `docs`, all columns kept, whose id is the smallest of their component; of rows that repeat such an id,
-    one of them. Rows whose id is null stay, as nothing tells them apart."""
+    one of them. Rows whose id is null stay, as nothing tells them apart. Texts are shuffled only if more than
+    `most_broadcast` ids go."""
     id = options.get("id", "doc_id")
     found = written(near_duplicates(docs, **options).select(F.col(id).alias("near_id"), "component_id"), "simhash-groups")
-    removed = found.where("near_id <> component_id").select("near_id").distinct()
-    kept = docs.join(removed, docs[id] == F.col("near_id"), "left_anti")
+    bounded = lambda ids: F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    removed = written(found.where("near_id <> component_id").select("near_id").distinct(), "simhash-removed")
+    kept = docs.join(bounded(removed), docs[id] == F.col("near_id"), "left_anti")
     repeated = written(found.where("near_id = component_id").groupBy("near_id").count().where("count > 1").select("near_id"), "simhash-repeated")
     if repeated.isEmpty():
         return kept
+    repeated = bounded(repeated)
     once = kept.join(repeated, kept[id] == F.col("near_id"), "left_semi").dropDuplicates([id])
     return kept.join(repeated, kept[id] == F.col("near_id"), "left_anti").unionByName(once)
 
