@@ -1,0 +1,210 @@
+"""Archives and main texts of web pages."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import hashlib
+import io
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from weirflow.llm import archives as A
+from weirflow.llm.html import extracted, host_path, lines, shared, without_shared
+
+PAGES = "page_id long, url string, html string"
+
+
+def odd_pages(spark):
+    big, small = "<p>é</p>" * 200, "tiny"
+    rows = [(1, "http://a/x", big), (7, "http://a/y", big), (3, None, big), (None, "http://b/", big), (4, "", small), (5, "u r\nl", small), (6, "http://c", None), (8, "http://c", ""), (7, "http://a/y", big)]
+    return rows, spark.createDataFrame([(*r, 1, "x") for r in rows], PAGES + ", digest int, lines string")
+
+
+# Archives
+
+
+@pytest.mark.parametrize("broadcast", [10, 0])
+def test_archives_of_odd_pages(spark, broadcast):
+    rows, df = odd_pages(spark)
+    got = A.archived(df, most_broadcast=broadcast).collect()
+    assert len(got) == len(rows) and all(r.verified for r in got)
+    big = rows[0][2]
+    for r in got:
+        html = next(h or "" for p, _, h in rows if p == r.page_id)
+        assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
+        revisit = html == big and r.page_id != 7
+        assert (r.record_type, r.refers_to) == (("revisit", 7) if revisit else ("response", None))
+    assert len({r.record_id for r in got}) == len(rows) - 1  # one row is there twice
+    assert {r.url for r in got} == {"http://a/x", "http://a/y", None, "http://b/", "u%20r%0Al", "http://c"}
+    assert A.archived(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def old_arc(version: int, end: bytes = b"\n") -> bytes:
+    fields = A.V1_FIELDS if version == 1 else A.V2_FIELDS
+    body = f"{version} 0 old\n{fields}\n".encode()
+    more = b"" if version == 1 else b" 200 - - 0 f.arc"
+    out = b"filedesc://f.arc 0.0.0.0 19980101 text/plain" + more + b" %d\n" % len(body) + body + end
+    for url, doc in ((b"http://a/", b"HTTP/1.0 404 Not\r\nContent-Type: text/html\r\n\r\n\xff\xfe\nbody"), (b"dns:a", b"20010203 1.2.3.4\n"), (b"http://e/", b"")):
+        out += url + b" 1.2.3.4 20010203 text/html" + more + b" %d\n" % len(doc) + doc + end
+    return out
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("packed", ["plain", "one", "many"])
+def test_old_archives(spark, tmp_path, version, packed):
+    data = old_arc(version)
+    if packed == "one":
+        data = gzip.compress(data)
+    if packed == "many":
+        data = b"".join(gzip.compress(data[k : k + 50]) for k in range(0, len(data), 50))
+    arc, warc = tmp_path / "arc", tmp_path / "warc"
+    arc.mkdir()
+    (arc / "f.arc").write_bytes(data)
+    records = {r.url: r for r in A.read_arc(spark, f"file://{arc}").collect()}
+    assert {u: bytes(r.payload) for u, r in records.items()} == {"http://a/": b"\xff\xfe\nbody", "dns:a": b"20010203 1.2.3.4\n", "http://e/": b""}
+    assert records["http://a/"].status == 404 and records["dns:a"].status is None and records["dns:a"].arc_version == version
+    A.convert(spark, f"file://{arc}", f"file://{warc}")
+    got = {r.url: r for r in A.read_warc(spark, f"file://{warc}").collect()}
+    assert all(r.verified for r in got.values()) and got["http://a/"].date == "2001-02-03T00:00:00Z"
+    assert got["http://a/"].payload_digest == hashlib.sha1(b"\xff\xfe\nbody").hexdigest()
+
+
+def test_warc_files_are_well_formed(spark, tmp_path):
+    rows, df = odd_pages(spark)
+    A.write_arc(df.coalesce(1), f"file://{tmp_path}/arc")
+    A.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "warc").glob("part-*")))
+    heads, f = [], io.BytesIO(data)
+    while line := f.readline():
+        assert line == b"WARC/1.0\r\n"
+        head = {}
+        while (line := f.readline()) != b"\r\n":
+            k, _, v = line.decode().rstrip("\r\n").partition(": ")
+            head[k] = v
+        block = f.read(int(head["Content-Length"]))
+        assert f.read(4) == b"\r\n\r\n"
+        if "WARC-Block-Digest" in head:
+            assert head["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        heads.append(head)
+    ids = {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert heads[0]["WARC-Type"] == "warcinfo" and len(revisits) == 3
+    assert all(h["WARC-Refers-To"] in ids for h in revisits)
+
+
+def test_gzip_members_that_end_with_a_chunk():
+    data = [b"x" * 100, b"line\n" * 30, b"", b"end"]
+    packed = [gzip.compress(x) for x in data]
+    whole = b"".join(packed)
+    for step in {1, 7, len(packed[0]), len(packed[0]) + len(packed[1]), len(whole)}:
+        assert b"".join(A.Stream._plain(whole, step)) == b"".join(data)
+
+
+@pytest.mark.parametrize("bad", [b"http://a 1 2 3 4\n", b"filedesc://f 0 0 t 8\n1 0 x\nA\nhttp://a b\n", old_arc(1)[:-20]])
+def test_malformed_archives(bad):
+    with pytest.raises(ValueError):
+        list(A.arc_records(bad))
+
+
+def test_files_hold_no_more_than_their_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "FILE_RECORDS", 4)
+    df = spark.range(10).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.lit("x").alias("html")).coalesce(1)
+    A.write_arc(df, f"file://{tmp_path}/arc")
+    files = sorted((tmp_path / "arc").glob("part-*"))
+    each = [list(A.arc_records(p.read_bytes())) for p in files]
+    assert [len(x) for x in each] == [3, 3, 3, 1] and {v for x in each for v, _, _ in x} == {1, 2}
+
+
+# Main texts
+
+
+@pytest.mark.parametrize(
+    "html,inside,outside",
+    [
+        ("", [], []),
+        ("a  b\n c", [], ["a b c"]),
+        ("<article><h1>T</h1><p>one<br>two<p>three</article><p>no", ["T", "one two", "three"], ["no"]),
+        ("<nav>x</nav><header><p>h</p></header><main>a<aside>b</aside><div class='comments'>c</div><footer>d</footer>e</main>", ["a", "e"], []),
+        ("<article>a &lt;b&gt; &amp;amp; &eacute;&#x41;</article>", ["a <b> &amp; éA"], []),
+        ("<article><script>if (a < b) '</p>'</script><style>x</style><!-- <p>n</p> -->y<textarea>z</textarea></article>", ["y"], []),
+        ("<article><b>unclosed<p>next</p></article><footer>f", ["unclosed", "next"], []),
+        ("<div class='cookie-banner'>x</div><div class=ad>y</div><div role='navigation'>z</div><div hidden>w</div><p>t</p>", [], ["t"]),
+        ("<article><header><h1>Head</h1><p>menu</p></header><p>body</p></article>", ["Head", "body"], []),
+        ("<article><p>a<form><p>f</form>b</article>", ["a", "b"], []),
+        ("<article><ul><li>1<li>2</ul><table><tr><td>x<td>y</table></article>", ["1", "2", "x y"], []),
+        ("<article data-x='a>b'>t</article", ["t"], []),
+        ("<ARTICLE>Up</ARTICLE>", ["Up"], []),
+        ("<div class='has-sidebar'><p>t</p></div>", [], ["t"]),
+        ("<script>never closed <article>x</article>", [], []),
+    ],
+)
+def test_lines(html, inside, outside):
+    assert lines(html) == (inside, outside)
+
+
+def test_odd_markup_takes_no_long():
+    for html in ("<" * 200_000, "<p a='" * 50_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "&" * 200_000, "<p>x" * 50_000):
+        lines(html)
+
+
+def longest(a, b) -> int:
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+    return n[-1][-1]
+
+
+def test_longest_common_subsequences():
+    import random
+
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(12))] for _ in range(2))
+        places = sorted(shared(a, b))
+        assert len(places) == longest(a, b)
+        rest = iter(b)
+        assert all(any(x == y for y in rest) for x in (a[i] for i in places))
+
+
+def test_shared_lines_go_but_not_those_of_a_copy():
+    own = ["menu", "a long line of the page's own text", "foot"]
+    assert without_shared(own, [["menu", "other", "foot"]]) == own[1:2]
+    assert without_shared(own, [own]) == own
+    assert without_shared(own, [own, ["menu", "foot"]]) == own[1:2]
+    assert without_shared(own, []) == own
+
+
+def test_hosts_and_paths():
+    assert host_path("http://u@A.b:80/x/y?q#f") == ("a.b:80", "/x/y")
+    assert host_path("//h") == ("h", "") and host_path("x/y") == ("", "x/y") and host_path(None) == ("", "")
+
+
+def test_pages_without_marks_are_compared_with_their_neighbours(spark):
+    page = lambda k: f"<div>Site name</div><div>Own text number {k} which is long enough</div><div>All rights reserved</div>"
+    rows = [(k, f"http://h/{'ab'[k % 2]}/{k}", page(k)) for k in range(8)] + [(99, "http://other/", page(99)), (None, "http://h/a/9", page(9)), (50, None, "<article>x</article>"), (51, None, None), (52, "http://h/a/10", page(10)), (52, "http://h/a/10", page(10))]
+    df = spark.createDataFrame([(*r, "x", 2) for r in rows], PAGES + ", host string, slot int")
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in extracted(df).collect()]
+    assert len(got) == len(rows) and all(n == len(t) for *_, t, n in got)
+    by = {(p, u): t for p, u, t, _ in got}
+    for k in range(8):
+        assert by[k, rows[k][1]] == f"Own text number {k} which is long enough"
+    assert by[99, "http://other/"].count("\n\n") == 2  # no neighbour
+    assert by[50, None] == "x" and by[51, None] == "" and by[None, "http://h/a/9"].startswith("Own text")
+    assert extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_articles_of_the_smallest_pages(spark, sf):
+    """By the plain structure of these pages: what stands in the article, block by block."""
+    import re
+    from html import unescape
+
+    got = {r.page_id: r.text for r in extracted(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    for row in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", row["html"], re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " " if "br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))]
+        want = "\n\n".join(re.sub(r"\s+", " ", unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"</?(?:p|h1)>", article.replace("<br>", " ")) if x.strip())
+        assert blocks and got[row["page_id"]] == want

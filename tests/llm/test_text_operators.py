@@ -1,0 +1,304 @@
+"""Decontamination, near-duplicates, licence scans, sharding and mixing against brute force, and their edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from weirflow.llm import simhash as S
+from weirflow.llm.decontaminate import find_items, spans, without_items
+from weirflow.llm.licenses import BASE, TEMPLATES, scan
+from weirflow.llm.mixing import OTHER, TARGETS, calibrated, document_marginals, fit, mixture, token_count
+from weirflow.llm.sharding import shard_of, sharded, tree
+
+from .brute import EMPTY, components, contamination, odd_documents, simhash, words
+
+RANDOM = random.Random(11)
+
+
+def prose(n: int, vocabulary: int = 40) -> str:
+    return " ".join(RANDOM.choice(["Word", "word", "x", "É", "9"]) + str(RANDOM.randrange(vocabulary)) for _ in range(n))
+
+
+# Decontamination
+
+
+def contaminated_frames(spark):
+    items = [(f"i{k}", prose(n)) for k, n in enumerate((14, 30, 10, 3, 1, 0))] + [("i9", None), (None, "loose words here"), ("i1", prose(12))]
+    long = prose(400)
+    cut = lambda k, a, b: " ".join(items[k][1].split()[a:b])
+    docs = [
+        (1, prose(50) + " " + cut(1, 3, 25) + "; " + prose(9)),
+        (2, cut(0, 0, 9)),  # a word short of a window
+        (3, cut(0, 0, 10).upper().replace("É", "É") + "..." + cut(3, 0, 3)),
+        (4, "Loose, WORDS here! " + items[4][1] + "-" + items[4][1]),
+        (5, long),
+        (6, ""),
+        (7, None),
+        (None, items[2][1]),
+        (9, cut(1, 0, 12) + " " + cut(1, 2, 14)),
+        (9, cut(1, 0, 12) + " " + cut(1, 2, 14)),
+    ]
+    return docs, items, spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, id string"), spark.createDataFrame(items, "item_id string, text string")
+
+
+def found_rows(df):
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
+    return Counter((r[0], r[1], r[2], tuple(r[3])) for r in df.select("doc_id", "n_words", n_hit, "item_ids").collect())
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_decontamination_is_as_brute_force(spark, block_bytes):
+    docs, items, d, b = contaminated_frames(spark)
+    assert found_rows(find_items(d, b, block_bytes=block_bytes)) == Counter(contamination(docs, items))
+
+
+def test_decontamination_keeps_clean_rows_whole(spark):
+    docs, items, d, b = contaminated_frames(spark)
+    want = Counter((doc, text, "x") for (doc, text), (_, _, hit, _) in zip(docs, contamination(docs, items), strict=True) if not hit)
+    for block_bytes in (1 << 20, 1):
+        assert Counter(map(tuple, without_items(d, b, block_bytes=block_bytes).collect())) == want
+
+
+def test_spans_are_those_of_the_original(spark):
+    text = "Ärger — one TWO, three four five six seven éight nine ten eleven. end"
+    item = "two three four five six seven éight nine ten eleven"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    b = spark.createDataFrame([("a", item)], "item_id string, text string")
+    (span,) = find_items(d, b, with_spans=True).first().spans
+    assert text[span.start : span.end] == "TWO, three four five six seven éight nine ten eleven"
+    assert spans(text, []) == []
+
+
+def test_decontamination_of_nothing(spark):
+    none = spark.createDataFrame([], "item_id string, text string")
+    odd = odd_documents(spark)
+    got = find_items(odd, none)
+    assert got.count() == 9 and got.where("size(hits) > 0").isEmpty()
+    assert find_items(spark.createDataFrame([], EMPTY), none).count() == 0
+    items = spark.createDataFrame([("a", "some words stand here and some others stand there as")], "item_id string, text string")
+    assert {r.doc_id for r in find_items(odd, items).where("size(hits) > 0").collect()} == {1, 8}
+    assert without_items(odd, items).columns == odd.columns
+
+
+# Near-duplicates
+
+
+def near(text: str, changes: int) -> str:
+    w = text.split()
+    for _ in range(changes):
+        w[RANDOM.randrange(len(w))] = "changed"
+    return " ".join(w)
+
+
+def test_fingerprints_are_as_brute_force():
+    texts = [None, "", " \n", "one", "Two words", "a b c d", prose(5), prose(300), "É ü\tß\x0bx", "a" * 100_000]
+    assert [S.fingerprint((t or "").encode()) for t in texts] == [simhash(t) for t in texts]
+
+
+@pytest.mark.parametrize("most,mean", [(20_000, 64), (30, 1)])
+def test_components_are_as_brute_force(spark, most, mean):
+    base = [prose(120, 500) for _ in range(12)]
+    texts = [*base, *[near(RANDOM.choice(base), RANDOM.randrange(3)) for _ in range(80)], "", None, " ", base[0], base[0]]
+    ids = [*range(100, 100 + len(texts) - 2), 3, None]
+    df = spark.createDataFrame(list(zip(ids, texts, ["x"] * len(ids), strict=True)), "doc_id long, text string, fp string")
+    got = S.near_duplicates(df, most=most, mean=mean)
+    fps = [simhash(t) for t in texts]
+    want = Counter(zip(ids, [S.signed(f) for f in fps], components(fps, ids), strict=True))
+    assert Counter(map(tuple, got.select("doc_id", "fp", "component_id").collect())) == want
+    assert len({c for *_, c in want}) < len(texts) - 20
+
+
+def test_links_near_the_radius_and_beyond(spark):
+    """Random fingerprints at every distance, through deep shards too."""
+    start = RANDOM.getrandbits(64)
+    fps = {start, 0, (1 << 64) - 1}
+    for d in range(1, 9):
+        for _ in range(12):
+            x = RANDOM.choice(sorted(fps))
+            for b in RANDOM.sample(range(64), d):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    want = components(fps, fps)
+    nodes = spark.createDataFrame([(S.signed(f),) for f in fps], "fp long")
+    for most, mean in ((20_000, 64), (40, 1)):
+        edges = S.components(S.links(nodes, most=most, mean=mean))
+        root = {r.u: r.v for r in edges.collect()}
+        groups, expected = defaultdict(set), defaultdict(set)
+        for f, w in zip(fps, want, strict=True):
+            groups[root.get(S.signed(f), S.signed(f))].add(f)
+            expected[w].add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_a_forest_spans_a_dense_group():
+    fps = sorted({1 << a | 1 << b for a in range(40) for b in range(40)})
+    made = S.forest(fps)
+    assert len(made) == len(fps) - 1 and len({m for m, _ in made}) == len(made)
+
+
+def test_parts_and_masks():
+    for n in (1, 10**6, 10**12):
+        masks = S.shard_masks(n)
+        assert len(masks) == len(set(masks)) and all(0 < m < 1 << 64 for m in masks)
+    assert sum(S.parts((1 << 64) - 1, 5)) == (1 << 64) - 1
+
+
+@pytest.mark.parametrize("most_broadcast", [1000, 0])
+def test_one_of_each_group_stays(spark, most_broadcast):
+    odd = odd_documents(spark, [(9, prose(80), "en", "s", 1), (10, "", "en", "s", 1)])
+    kept = S.one_of_each_group(odd, most_broadcast=most_broadcast)
+    assert kept.columns == odd.columns
+    # 1 is repeated and equal to 8; 2, 3, 7 and 10 have no words; a row without an id stays.
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, None, 5, 6, 9])
+
+
+def test_near_duplicates_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], EMPTY)
+    assert S.near_duplicates(empty).count() == 0
+    assert S.one_of_each_group(empty).count() == 0
+
+
+# Licences
+
+
+def test_licence_phrases_and_blocks(spark):
+    text = TEMPLATES["text:mit"]
+    w = words(text)
+    docs = [
+        (1, "The MIT License, the Apache-License and the GNU General Public License. mit license"),
+        (2, prose(30) + " " + text + " " + prose(30)),
+        (3, prose(17) + " " + " ".join(w[: len(w) // 2])),  # half of it
+        (4, " ".join(reversed(w))),  # the same set
+        (5, ""),
+        (6, None),
+        (7, "permit licenses"),
+        (None, "mit license"),
+    ]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, word int")
+    got = {r.doc_id: r for r in scan(df).collect()}
+    assert [(p.word, p.label) for p in got[1].phrases] == [(1, "mit"), (4, "apache"), (9, "gpl"), (12, "mit")]
+    assert "text:mit" in {b.label for b in got[2].blocks} and "text:mit" in {b.label for b in got[4].blocks}
+    assert "text:mit" not in {b.label for b in got[3].blocks}
+    assert not got[5].blocks and not got[6].phrases and not got[7].phrases and got[None].phrases
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_blocks_are_as_brute_force(spark, threshold):
+    templates = {f"t{k}": prose(n, 12) for k, n in enumerate((3, 8, 20))} | {"none": "", "one": "x1"}
+    docs = [(k, prose(RANDOM.randrange(120), 12)) for k in range(60)]
+    got = {r.doc_id: Counter((b.label, b.word, b.n, round(b.containment, 9)) for b in r.blocks) for r in scan(spark.createDataFrame(docs, "doc_id long, text string"), templates, {}, threshold).collect()}
+    for doc, text in docs:
+        w, want = words(text), Counter()
+        for label, t in templates.items():
+            m, held = len(words(t)), set(words(t))
+            for j in range(0, len(w), m) if m else ():
+                share = len(held & set(w[j : j + 2 * m])) / len(held)
+                if share >= threshold:
+                    want[label, j, len(w[j : j + 2 * m]), round(share, 9)] += 1
+        assert got[doc] == want
+
+
+def test_licences_of_odd_rows(spark):
+    got = scan(odd_documents(spark))
+    assert got.count() == 9 and got.where("n_words is null or phrases is null or blocks is null").isEmpty()
+    assert scan(spark.createDataFrame([], EMPTY)).count() == 0
+    assert scan(odd_documents(spark), {}, BASE).where("size(blocks) > 0").isEmpty()
+
+
+# Sharding
+
+
+def test_shards_move_only_into_a_new_one(spark):
+    rows = spark.range(20_000)
+    for n in (7, 39, 40, 41, 45):
+        both = rows.select(shard_of(F.col("id"), tree(n)).alias("a"), shard_of(F.col("id"), tree(n + 1)).alias("b"))
+        moved = both.where("a <> b").select("b").distinct().collect()
+        if n >= 40:
+            assert [r.b for r in moved] == [n]
+        assert {r.a for r in both.select("a").distinct().collect()} == set(range(n))
+        assert both.where("a = 3 and b = 3").count() == sum(r.a == r.b == 3 for r in both.collect())
+
+
+def test_weights_move_rows_only_between_changed_subtrees(spark):
+    from weirflow.llm.sharding import Tree
+
+    before = Tree((((1.0, 1.0), (1.0, 1.0)), ((1.0, 1.0), (1.0, 1.0))))
+    after = Tree((((1.0, 1.0), (1.0, 3.0)), ((1.0, 1.0), (1.0, 1.0))))
+    rows = spark.range(30_000).select(shard_of(F.col("id"), before).alias("a"), shard_of(F.col("id"), after).alias("b"))
+    counts = {(r.a, r.b): r["count"] for r in rows.groupBy("a", "b").count().collect()}
+    # Into the heavier region, in it into the heavier rack, and in that into the heavier shard.
+    region, rack = {(a, b) for a in range(4, 8) for b in range(4)}, {(a, b) for a in (0, 1) for b in (2, 3)}
+    assert {(a, b) for a, b in counts if a != b} <= region | rack | {(2, 3)}
+    share = sum(n for (_, b), n in counts.items() if b == 3) / 30_000
+    assert math.isclose(share, 6 / 10 * 4 / 6 * 3 / 4, abs_tol=0.02)
+
+
+def test_shards_of_odd_rows(spark):
+    odd = odd_documents(spark, [(k, "x", "en", "s", 1) for k in range(100, 600)])
+    got = sharded(odd).collect()
+    assert len(got) == odd.count()
+    by_id, slots = defaultdict(set), defaultdict(list)
+    for r in got:
+        by_id[r.doc_id].add((r.shard, r.grown_shard))
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 40) and 0 <= r.shard < 40
+    assert all(len(x) == 1 for x in by_id.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = {r.doc_id: r["size"] for r in got}
+    assert sizes[2] == 16 and sizes[3] == 16 and sizes[6] == 16 + len("É ü ñ 漢字 \U0001f600 tail\u0000\n\r\t".encode())
+    assert sharded(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+# Mixing
+
+
+def test_fit_meets_its_marginals():
+    cells = [((a, b), 1.0 + 3 * i + 7 * j) for i, a in enumerate("xyz") for j, b in enumerate("pq")]
+    goals = [{"x": 2.0, "y": 1.0, "z": 1.0}, {"p": 1.0, "q": 4.0}]
+    f = fit(cells, goals)
+    total = sum(n for _, n in cells)
+    for k, goal in enumerate(goals):
+        for name, weight in goal.items():
+            got = sum(n * x for ((c, n), x) in zip(cells, f, strict=True) if c[k] == name)
+            assert math.isclose(got, total * weight / sum(goal.values()), rel_tol=1e-9)
+
+
+def test_fit_of_odd_cells():
+    assert fit([], [{"a": 1.0}]) == []
+    assert fit([(("a",), 0.0)], [{"a": 1.0}]) == [1.0]
+    assert fit([(("a",), 5.0), (("b",), 5.0)], [{"a": 1.0}])[1] == 0.0
+    assert fit([(("a",), 5.0)], [{}]) == [0.0]
+
+
+def test_sampled_shares_meet_the_targets(spark):
+    rows = [(k, "w " * (1 + k % 9), ("en", "de")[k % 10 == 0], ("src1", "src2", "odd")[k % 3], 1) for k in range(30_000)]
+    docs = spark.createDataFrame(rows, EMPTY)
+    targets = {"lang": {"en": 1.0, "de": 1.0}, "source": {"src1": 2.0, "src2": 1.0, OTHER: 1.0}}
+    got = calibrated(docs, {"lang": F.col("lang"), "source": F.col("source")}, token_count(F.col("text")), targets)
+    kept = got.where("mix_draw < mix_p")
+    total = kept.agg(F.sum("mix_tokens")).first()[0]
+    for k, want in ((0, {"en": 0.5, "de": 0.5}), (1, {"src1": 0.5, "src2": 0.25, OTHER: 0.25})):
+        share = {r[0]: r[1] / total for r in kept.groupBy(F.col("mix_groups")[k]).agg(F.sum("mix_tokens")).collect()}
+        assert share.keys() == want.keys() and all(abs(share[x] - want[x]) < 0.03 for x in want)
+    assert math.isclose(got.agg(F.max("mix_p")).first()[0], 1.0)
+    assert kept.count() == got.where("mix_draw < mix_p").count()
+
+
+def test_mixing_odd_rows(spark):
+    odd = odd_documents(spark)
+    got = calibrated(odd, document_marginals(), token_count(F.col("text")), TARGETS)
+    assert got.count() == 9 and got.where("mix_p is null or mix_draw is null or mix_p < 0 or mix_p > 1").isEmpty()
+    assert got.where("mix_row.doc_id = 1").select("mix_draw").distinct().count() == 1
+    assert mixture(odd).columns == odd.columns
+    assert mixture(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_digest_of_no_items():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

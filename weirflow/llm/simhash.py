@@ -22,8 +22,10 @@ RADIUS = 4
 SHINGLE = 4
 #: Fingerprints in a shard, on average, that the count of blocks is chosen for.
 SHARD_MEAN = 64
-#: A larger shard is dealt out by further blocks of its free bits. Over 2 ** 14, so that 14 free bits always fit.
+#: A larger shard is dealt out by further blocks of its free bits, unless only FREE_BITS are left: then it has at most
+#: 2 ** FREE_BITS fingerprints.
 SHARD_MOST = 20_000
+FREE_BITS = 14
 #: Ids up to which they are broadcast, 8 bytes each, to remove their rows: 16 MB as a hash table. More are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -131,12 +133,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, mean:
     spark = nodes.sparkSession
 
     def trees(batch: pa.RecordBatch) -> dict:
-        pairs = [(signed(a), signed(b)) for fps in batch["fps"].to_pylist() for a, b in forest([x & (1 << 64) - 1 for x in fps], radius)]
+        pairs = [(signed(a), signed(b)) for fps in batch["fps"].to_pylist() for a, b in forest(sorted({x & (1 << 64) - 1 for x in fps}), radius)]
         return {"u": [max(p) for p in pairs], "v": [min(p) for p in pairs]}
 
     while True:
         sizes = keyed.groupBy("mask", "value").count().where(F.col("count") > 1)
-        sizes = written(sizes.where(F.col("count") > most).select("mask", "value"), "simhash-large")
+        sizes = sizes.where((F.col("count") > most) & (F.bit_count("mask") < 64 - FREE_BITS))
+        sizes = written(sizes.select("mask", "value"), "simhash-large")
         masks = [r[0] & (1 << 64) - 1 for r in sizes.select("mask").distinct().toLocalIterator()]
         small = keyed.join(sizes, ["mask", "value"], "left_anti") if masks else keyed
         shards = small.groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
