@@ -146,7 +146,7 @@ def test_lines(html, inside, outside):
 
 
 def test_odd_markup_takes_no_long():
-    for html in ("<" * 200_000, "<p a='" * 50_000, "<div>" * 50_000 + "x", "<!--" * 50_000, "&" * 200_000, "<p>x" * 50_000):
+    for html in ("<" * 200_000, "<p a='" * 50_000, "<div>" * 50_000 + "x", "<div>" * 50_000 + "</b>" * 50_000, "<!--" * 50_000, "&" * 200_000, "<p>x" * 50_000):
         lines(html)
 
 

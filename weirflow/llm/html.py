@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from os.path import commonprefix
@@ -31,6 +32,8 @@ TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
     re.S,
 )
+#: How a tag begins, of which the rest is missing at the end of a page.
+TAG_START = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -79,9 +82,10 @@ def lines(html: str) -> tuple[Lines, Lines]:
     """The text lines in article or main elements, and those elsewhere; what is out is in neither."""
     inside, outside = [], []
     stack: list[tuple[str, bool, bool]] = []  # name, out, main
+    opened: Counter[str] = Counter()
     out = main = heading = 0
     parts: list[str] = []
-    at = 0
+    at, last = 0, html.rfind(">") + 1  # no tag ends after that
 
     def flush() -> None:
         if parts:
@@ -94,19 +98,23 @@ def lines(html: str) -> tuple[Lines, Lines]:
         nonlocal out, main, heading
         while len(stack) > to:
             name, was_out, was_main = stack.pop()
+            opened[name] -= 1
             out -= was_out
             main -= was_main
             heading -= name in HEADING
 
     while at < len(html):
-        m = TAG.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
+        m = TAG.search(html, at, last) if at < last else None
+        cut = m or TAG_START.search(html, at)
+        text = html[at : cut.start()] if cut else html[at:]
         # A heading in an article's own header is part of the article.
         if text and (not out or main and heading and out == sum(o for n, o, _ in stack if n in ("header", "hgroup"))):
             parts.append(text)
         if not m:
             break
         at = m.end()
+        if m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "]]>")):
+            break
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
@@ -116,7 +124,7 @@ def lines(html: str) -> tuple[Lines, Lines]:
         elif name in SPACE:
             parts.append(" ")
         if end:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
                     drop(k)
                     break
@@ -139,6 +147,7 @@ def lines(html: str) -> tuple[Lines, Lines]:
             drop(0)
         gone = not kept and is_out(name, attributes)
         stack.append((name, gone, kept))
+        opened[name] += 1
         out += gone
         main += kept
         heading += name in HEADING
