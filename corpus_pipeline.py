@@ -13,7 +13,7 @@ from weirflow.llm.common import written
 from weirflow.llm.decontaminate import without_items
 from weirflow.llm.mixing import mixture
 from weirflow.llm.quality import accepted
-from weirflow.llm.sharding import SHARDS, tree, with_shard
+from weirflow.llm.sharding import SHARDS, shard_of, tree
 from weirflow.llm.simhash import one_of_each_group
 
 
@@ -39,10 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and, of one shard more, grown_shard."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("shard_id"), F.struct("*").alias("shard_row"))
-    rows = with_shard(rows, F.col("shard_id"), tree(SHARDS), "shard")
-    rows = with_shard(rows, F.col("shard_id"), tree(SHARDS + 1), "grown_shard")
-    return rows.select("shard_row.*", "shard", "grown_shard")
+    return docs.withColumns({"shard": shard_of(F.col("doc_id"), tree(SHARDS)), "grown_shard": shard_of(F.col("doc_id"), tree(SHARDS + 1))})
 
 
 STAGES = [

@@ -7,6 +7,7 @@ it enters or leaves a child whose weight changed, and below any other child noth
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -83,24 +84,39 @@ def name_of(level: int, node, child: int):
     return (node * 0x3779B1 + (level * 0x10001 + child * 0x9E35 + 1)) & M32
 
 
-def with_shard(rows: DataFrame, key: Column, tree: Tree, out: str, key_column: str = "shard_key") -> DataFrame:
-    """`rows` with the shard of a 64-bit key in `out`; a null key counts as -1. Its hash is kept in `key_column`."""
-    if key_column not in rows.columns:
-        key = Bits(F.coalesce(key.cast("bigint"), F.lit(-1).cast("bigint")))
-        rows = rows.withColumn(key_column, mixed((key & M32) ^ mixed(((key >> 32) & M32) ^ 0x5BD1E995)).column)
-    node = F.lit(0).cast("bigint")
-    for level, nodes in enumerate(tree.levels):
-        first = F.element_at(F.array(*map(F.lit, accumulate((len(w) for w in nodes), initial=0))), node.cast("int") + 1)
-        draws = []
-        for j in range(max(map(len, nodes))):
-            u = (mixed(Bits(F.col(key_column)) ^ name_of(level, Bits(node), j)).column + 1) / F.lit(2.0**32)
-            weights = [w[j] if j < len(w) else None for w in nodes]
-            weight = F.lit(weights[0]) if len(set(weights)) == 1 else F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), node.cast("int") + 1)
-            draws.append(-F.log(u) / weight)
-        # A child that a node lacks draws null, which is no minimum.
-        rows = rows.withColumn(f"{out}_{level}", first + (F.array_position(F.array(*draws), F.array_min(F.array(*draws))).cast("int") - 1))
-        node = F.col(f"{out}_{level}").cast("bigint")
-    return rows.withColumn(out, F.col(f"{out}_2").cast("int")).drop(f"{out}_0", f"{out}_1", f"{out}_2")
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value, which is computed once. A column that a plan inlines wherever it is used would grow with each level;
+    a lambda's variable doesn't."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def hashed(key: Column) -> Column:
+    """32 bits from a 64-bit key; null counts as -1."""
+    whole = lambda k: mixed((Bits(k) & M32) ^ mixed(((Bits(k) >> 32) & M32) ^ 0x5BD1E995)).column
+    return bound(F.coalesce(key.cast("bigint"), F.lit(-1).cast("bigint")), whole)
+
+
+def child_of(key: Column, node: Column, level: int, nodes: list[list[float]]) -> Column:
+    """The number, among all of the level's children, of the child that a hashed key draws at a node."""
+    first = F.element_at(F.array(*map(F.lit, accumulate((len(w) for w in nodes), initial=0))), node.cast("int") + 1)
+    draws = []
+    for j in range(max(map(len, nodes))):
+        u = (mixed(Bits(key) ^ name_of(level, Bits(node), j)).column + 1) / F.lit(2.0**32)
+        weights = [w[j] if j < len(w) else None for w in nodes]
+        weight = F.lit(weights[0]) if len(set(weights)) == 1 else F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), node.cast("int") + 1)
+        draws.append(-F.log(u) / weight)
+    # A child that a node lacks draws null, which is no minimum.
+    return (first + bound(F.array(*draws), lambda d: F.array_position(d, F.array_min(d))) - 1).cast("bigint")
+
+
+def shard_of(key: Column, tree: Tree) -> Column:
+    """The shard of a 64-bit key."""
+
+    def below(hash: Column, node: Column, level: int) -> Column:
+        child = child_of(hash, node, level, tree.levels[level])
+        return child if level == 2 else bound(child, lambda n: below(hash, n, level + 1))
+
+    return bound(hashed(key), lambda h: below(h, F.lit(0).cast("bigint"), 0)).cast("int")
 
 
 def with_slots(rows: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
@@ -142,8 +158,7 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, id: str = "doc_id", text:
     )
     # Texts are read once: dealing out by ranges samples its input first.
     rows = written(rows, "shard-rows")
-    rows = with_shard(rows, F.col("doc_id"), tree(shards), "shard")
-    rows = with_shard(rows, F.col("doc_id"), tree(shards + 1), "grown_shard")
+    rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), tree(shards)), "grown_shard": shard_of(F.col("doc_id"), tree(shards + 1))})
     return with_slots(rows, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
