@@ -7,10 +7,11 @@ it enters or leaves a child whose weight changed, and below any other child noth
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ M32 = (1 << 32) - 1
 
 
 def mixed(x):
-    """Bijective mixing of 32 bits, of an int, Bits or Sql; products stay below 2 ** 63."""
+    """Bijective mixing of 32 bits, of an int, an array, Bits or Sql; products stay below 2 ** 63."""
     x = ((x ^ (x >> 16)) * 0x45D9F3B) & M32
     x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & M32
     return x ^ (x >> 16)
@@ -84,39 +85,32 @@ def name_of(level: int, node, child: int):
     return (node * 0x3779B1 + (level * 0x10001 + child * 0x9E35 + 1)) & M32
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value, which is computed once. A column that a plan inlines wherever it is used would grow with each level;
-    a lambda's variable doesn't."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
-def hashed(key: Column) -> Column:
-    """32 bits from a 64-bit key; null counts as -1."""
-    whole = lambda k: mixed((Bits(k) & M32) ^ mixed(((Bits(k) >> 32) & M32) ^ 0x5BD1E995)).column
-    return bound(F.coalesce(key.cast("bigint"), F.lit(-1).cast("bigint")), whole)
-
-
-def child_of(key: Column, node: Column, level: int, nodes: list[list[float]]) -> Column:
-    """The number, among all of the level's children, of the child that a hashed key draws at a node."""
-    first = F.element_at(F.array(*map(F.lit, accumulate((len(w) for w in nodes), initial=0))), node.cast("int") + 1)
-    draws = []
-    for j in range(max(map(len, nodes))):
-        u = (mixed(Bits(key) ^ name_of(level, Bits(node), j)).column + 1) / F.lit(2.0**32)
-        weights = [w[j] if j < len(w) else None for w in nodes]
-        weight = F.lit(weights[0]) if len(set(weights)) == 1 else F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), node.cast("int") + 1)
-        draws.append(-F.log(u) / weight)
-    # A child that a node lacks draws null, which is no minimum.
-    return (first + bound(F.array(*draws), lambda d: F.array_position(d, F.array_min(d))) - 1).cast("bigint")
+def shards_of(keys: np.ndarray, tree: Tree) -> np.ndarray:
+    """The shards of 64-bit keys, level by level for all keys at once."""
+    hashes = mixed((keys & M32) ^ mixed((keys >> 32 & M32) ^ 0x5BD1E995))
+    node = np.zeros(len(keys), np.int64)
+    for level, nodes in enumerate(tree.levels):
+        first = np.cumsum([0, *map(len, nodes)])
+        best, child = np.full(len(keys), np.inf), np.zeros(len(keys), np.int64)
+        for j in range(max(map(len, nodes))):
+            # A child that a node lacks, or that has no weight, is never drawn.
+            weight = np.array([w[j] if j < len(w) else 0.0 for w in nodes])[node]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                draw = -np.log((mixed(hashes ^ name_of(level, node, j)) + 1) / 2.0**32) / weight
+            less = draw < best
+            child[less], best[less] = j, draw[less]
+        node = first[node] + child
+    return node.astype(np.int32)
 
 
 def shard_of(key: Column, tree: Tree) -> Column:
-    """The shard of a 64-bit key."""
+    """The shard of a 64-bit key; null counts as -1. Batches pass through Arrow: as a column expression each level would be
+    inlined several times into the next wherever a plan's filter meets it."""
 
-    def below(hash: Column, node: Column, level: int) -> Column:
-        child = child_of(hash, node, level, tree.levels[level])
-        return child if level == 2 else bound(child, lambda n: below(hash, n, level + 1))
+    def shards(keys: pd.Series) -> pd.Series:
+        return pd.Series(shards_of(keys.to_numpy(np.int64), tree))
 
-    return bound(hashed(key), lambda h: below(h, F.lit(0).cast("bigint"), 0)).cast("int")
+    return F.pandas_udf(shards, "int")(F.coalesce(key.cast("bigint"), F.lit(-1).cast("bigint")))
 
 
 def with_slots(rows: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
@@ -155,10 +149,11 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, id: str = "doc_id", text:
         (F.octet_length(data) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.lit("key").alias("law"),
+        shard_of(F.col(id), tree(shards)).alias("shard"),
+        shard_of(F.col(id), tree(shards + 1)).alias("grown_shard"),
     )
     # Texts are read once: dealing out by ranges samples its input first.
     rows = written(rows, "shard-rows")
-    rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), tree(shards)), "grown_shard": shard_of(F.col("doc_id"), tree(shards + 1))})
     return with_slots(rows, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
