@@ -18,6 +18,7 @@ WIDTH = 192
 MOST_ROWS = 2048
 CODE_LIMIT = 12
 
+# Fixed values of the format: the order of code lengths' lengths, and the places (x, y) of the first 120 distances.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _NEAR = [
     (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
