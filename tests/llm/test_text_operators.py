@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weirflow.llm import simhash as S
 from weirflow.llm.decontaminate import find_items, spans, without_items
 from weirflow.llm.licenses import BASE, TEMPLATES, scan
-from weirflow.llm.mixing import OTHER, TARGETS, calibrated, document_marginals, fit, mixture, token_count
+from weirflow.llm.mixing import OTHER, TARGETS, calibrated, document_marginals, fit, mixture, probabilities, token_count
 from weirflow.llm.sharding import shard_of, sharded, tree
 
 from .brute import EMPTY, components, contamination, odd_documents, simhash, words
@@ -300,5 +300,25 @@ def test_mixing_odd_rows(spark):
     assert mixture(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("source,lang", [("src1", None), (None, "en"), ("rare", "en"), ("src1", "rare"), (None, None)])
+def test_one_odd_row_leaves_the_sample_as_it_is(spark, sf, source, lang):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(-7, "five words of a row", lang, source, 19)], EMPTY)
+    before = sorted(r.doc_id for r in mixture(docs).select("doc_id").collect())
+    assert len(before) > 40
+    assert sorted(r.doc_id for r in mixture(docs.union(odd)).select("doc_id").collect()) == [-7, *before]
+
+
+def test_small_categories_are_kept_whole_and_leave_a_tenth():
+    for n in (0.0, 1.0, 90.0, 200.0, 1000.0, 5000.0):
+        cells = [(("a", "x"), 60_000.0), (("b", "x"), 40_000.0), (("b", "y"), 20_000.0), (("c", "y"), n)]
+        goals = [{"a": 1.0, "b": 1.0, "c": 0.1}, {"x": 1.0, "y": 1.0}]
+        p = probabilities(cells, goals)
+        assert all(0 <= x <= 1 for x in p) and max(p) == 1.0
+        assert sum(x * m for x, (_, m) in zip(p, cells, strict=True)) >= sum(m for _, m in cells) / 10
+    f = fit(cells, goals)
+    assert p == [x / max(f) for x in f]  # none is too small
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -3,7 +3,9 @@
 Tokens are summed by cell, a combination of the marginals' categories. Categories that no target names are one, OTHER, so
 there are at most as many cells as the targets allow, whatever the input. Each sweep scales the cells' factors to meet one
 marginal after the other. A document's probability is its cell's factor, scaled so that the largest is 1: then expected
-tokens have the target shares exactly. Its draw is a hash of its id, so the sample is the same in any run.
+tokens have the target shares exactly. Cells that would have more than MOST times the mean weight, those of categories too
+small for their target, are kept whole instead, and the others are fitted without them: else a single document of a rare
+category would empty the sample. Its draw is a hash of its id, so the sample is the same in any run.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from .sharding import M32, Bits, Sql, mixed
 
 OTHER = "(other)"
 SWEEPS = 40
+#: The largest factor, as a multiple of the mean, that the sample is scaled by; so a MOST-th of the tokens stays at least.
+MOST = 10.0
 
 Targets = dict[str, dict[str, float]]
 
@@ -63,6 +67,24 @@ def fit(cells: list[tuple[tuple[str, ...], float]], targets: Sequence[dict[str,
     return factors
 
 
+def probabilities(cells: list[tuple[tuple[str, ...], float]], targets: Sequence[dict[str, float]], sweeps: int = SWEEPS, most: float = MOST) -> list[float]:
+    """The cells' probabilities: their factors by the largest. Cells whose factor is over `most` times the mean are kept
+    whole, largest first, and the share that they leave unmet goes to the others, which are fitted anew."""
+    p, rest = [1.0] * len(cells), list(range(len(cells)))
+    while True:
+        factors = fit([cells[k] for k in rest], targets, sweeps)
+        top = max(factors, default=0.0)
+        tokens = sum(cells[k][1] for k in rest)
+        held = sum(cells[k][1] * f for k, f in zip(rest, factors, strict=True))
+        if top * tokens <= most * held or held <= 0:
+            break
+        # Others may be over only because of the largest.
+        rest = [k for k, f in zip(rest, factors, strict=True) if f * tokens <= most * held or f < top / 2]
+    for k, f in zip(rest, factors, strict=True):
+        p[k] = f / top if top > 0 else 0.0
+    return p
+
+
 def draw(id: Column) -> Column:
     """A number in [0, 1) that the id decides; null counts as -1."""
     key = Bits(F.coalesce(id.cast("bigint"), F.lit(-1).cast("bigint")))
@@ -73,8 +95,8 @@ def calibrated(docs: DataFrame, values: dict[str, Column], tokens: Column, targe
     """mix_row (all columns of `docs`), mix_tokens, mix_groups, mix_p, mix_draw per row.
 
     `values`: the marginals by the names of `targets`, as expressions on `docs`. A null is of the category OTHER; a
-    category without a target weight has probability 0, as have all rows if none has; rows without tokens have their cell's
-    probability; rows that repeat an id have the same draw; null ids count as -1. As rows are packed in one column,
+    category without a target weight has probability 0, as have all rows if none has; rows of a category too small for its
+    target have probability 1; rows without tokens have their cell's probability; rows that repeat an id have the same draw; null ids count as -1. As rows are packed in one column,
     other columns may have any names. An empty table gives none.
     """
     rows = docs.select(F.struct("*").alias("mix_row"), tokens.alias("mix_tokens"), F.array(*categories(values, targets)).alias("mix_groups"), draw(F.col(id)).alias("mix_draw"))
@@ -82,9 +104,7 @@ def calibrated(docs: DataFrame, values: dict[str, Column], tokens: Column, targe
     most = prod(len(set(targets[name]) | {OTHER}) for name in values)
     cells = sorted((tuple(r[0]), float(r[1])) for r in rows.groupBy("mix_groups").agg(F.sum("mix_tokens")).limit(most + 1).collect())
     assert len(cells) <= most
-    factors = fit(cells, [targets[name] for name in values], sweeps)
-    top = max(factors, default=0.0)
-    made = [(list(c), f / top if top > 0 else 0.0) for (c, _), f in zip(cells, factors, strict=True)]
+    made = [(list(c), p) for (c, _), p in zip(cells, probabilities(cells, [targets[name] for name in values], sweeps), strict=True)]
     known = docs.sparkSession.createDataFrame(made, "mix_cell array<string>, mix_p double")
     return rows.join(F.broadcast(known), F.col("mix_groups") == F.col("mix_cell")).drop("mix_cell")
 
