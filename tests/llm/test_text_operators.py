@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import simhash as S
 from weirflow.llm.decontaminate import find_items, spans, without_items
-from weirflow.llm.licenses import BASE, TEMPLATES, scan
+from weirflow.llm.licenses import BASE, TEMPLATES, op9_licenses, scan
 from weirflow.llm.mixing import OTHER, TARGETS, calibrated, document_marginals, fit, mixture, probabilities, token_count
 from weirflow.llm.sharding import shard_of, sharded, tree
 
@@ -205,6 +205,30 @@ def test_blocks_are_as_brute_force(spark, threshold):
         assert got[doc] == want
 
 
+def test_notices_are_found_at_any_offset(spark, tmp_path):
+    notice = "Licensed for reuse under CC BY-NC, as of version 4"
+    docs = [(k, " ".join(["x"] * k + [notice] + ["x"] * 30), "en", "s", 1) for k in range(20)]
+    spark.createDataFrame(docs, EMPTY).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9_licenses(spark, str(tmp_path)).collect()
+    assert len(got) == 20 and all("notice:cc-by-nc" in r.labels.split(",") and math.isclose(r.score, 6 / 7) for r in got)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_notices_are_as_brute_force(spark, threshold):
+    templates = {f"t{k}": prose(n, 12) for k, n in enumerate((3, 8, 20))} | {"none": "", "one": "x1"}
+    docs = [(k, prose(RANDOM.randrange(120), 12)) for k in range(60)]
+    got = {r.doc_id: {b.label: (b.word, b.n, round(b.containment, 9)) for b in r.notices} for r in scan(spark.createDataFrame(docs, "doc_id long, text string"), templates, {}, threshold).collect()}
+    for doc, text in docs:
+        w, want = words(text), {}
+        for label, t in templates.items():
+            m, held = len(words(t)), set(words(t))
+            shares = [(len(held & set(w[j : j + 2 * m])) / len(held), -j) for j in range(len(w))] if m else []
+            share, j = max(shares, default=(0.0, 0))
+            if shares and share >= threshold:
+                want[label] = (-j, len(w[-j : -j + 2 * m]), round(share, 9))
+        assert got[doc] == want
+
+
 def test_licences_of_odd_rows(spark):
     got = scan(odd_documents(spark))
     assert got.count() == 9 and got.where("n_words is null or phrases is null or blocks is null").isEmpty()

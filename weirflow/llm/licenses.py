@@ -4,14 +4,15 @@ A template's set of words is ordered by how many documents of the whole table ho
 holds the share THRESHOLD of them must hold one of the first few (prefix filter) and must have words enough (length filter);
 at each place of the order, what is shared so far and what is left of the template must suffice (positional filter). What
 passes is counted exactly. Blocks of a template of m words are the windows of 2 m words that begin at multiples of m, so a run of
-up to m + 1 words lies in a block wherever it stands.
+up to m + 1 words lies in a block wherever it stands. Notices are looked for at every start: a count of the distinct words
+that the window holds slides along the text, so none is lost by where it stands.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -122,11 +123,42 @@ class Scanner:
         return out
 
 
+    def notices(self, w: list[bytes]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, words, containment) of each template's fullest window of 2 m words at any start, the first of
+        equals, if it meets the threshold."""
+        have = set(w)
+        out = []
+        for k in sorted({k for x in have & self.index.keys() for k in self.index[x]}):
+            t = self.templates[k]
+            wanted = have.intersection(t.order)
+            if len(wanted) < t.least:
+                continue
+            width, inside, best, first = 2 * t.size, deque(), 0, 0
+            counts: dict[bytes, int] = {}
+            for i, x in enumerate(w):
+                if x not in wanted:
+                    continue
+                while inside and inside[0] <= i - width:
+                    old = w[inside.popleft()]
+                    if counts[old] == 1:
+                        del counts[old]
+                    else:
+                        counts[old] -= 1
+                inside.append(i)
+                counts[x] = counts.get(x, 0) + 1
+                if len(counts) > best:
+                    best, first = len(counts), max(0, i - width + 1)
+            if best >= t.least:
+                out.append((t.label, first, len(w[first : first + width]), best / len(t.order)))
+        return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_words, phrases (first word and label of each place), blocks (label, first word, words, containment) per row.
+    """id, n_words, phrases (first word and label of each place), blocks (label, first word, words, containment) and notices
+    (the same, of each template's fullest window at any start) per row.
 
-    Only `id` and `text` are read, so other columns may have any name. A null, empty or wordless text has no words, places
-    or blocks; repeated rows each give a row; a null id stays null; an empty table gives none. A template without words
+    Only `id` and `text` are read, so other columns may have any name. A null, empty or wordless text has no words, places,
+    blocks or notices; repeated rows each give a row; a null id stays null; an empty table gives none. A template without words
     finds nothing; one word's ties in frequency go by the word.
     """
     templates, phrases = TEMPLATES if templates is None else templates, BASE if phrases is None else phrases
@@ -134,23 +166,27 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     frequency = frequencies(docs, vocabulary, text) if vocabulary else {}
     scanner = Scanner([template(label, t, frequency, threshold) for label, t in templates.items()], phrases)
 
+    listed = lambda found: [{"label": a, "word": b, "n": c, "containment": d} for a, b, c, d in found]
+
     def rows(batch: pa.RecordBatch) -> dict:
         w = [words(x) for x in texts(batch["text"])]
         return {
             "id": batch["id"],
             "n_words": [len(x) for x in w],
             "phrases": [[{"word": i, "label": label} for i, label in scanner.places(x)] for x in w],
-            "blocks": [[{"label": a, "word": b, "n": c, "containment": d} for a, b, c, d in scanner.blocks(x)] for x in w],
+            "blocks": [listed(scanner.blocks(x)) for x in w],
+            "notices": [listed(scanner.notices(x)) for x in w],
         }
 
     read = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    made = arrow_map(read, rows, "id long, n_words long, phrases array<struct<word: long, label: string>>, blocks array<struct<label: string, word: long, n: long, containment: double>>")
+    found = "array<struct<label: string, word: long, n: long, containment: double>>"
+    made = arrow_map(read, rows, f"id long, n_words long, phrases array<struct<word: long, label: string>>, blocks {found}, notices {found}")
     return made.withColumnRenamed("id", id)
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    base, own = F.col("phrases.label"), F.col("blocks.label")
+    base, own = F.col("phrases.label"), F.col("notices.label")
     listed = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return found.select(
         F.col("doc_id"),
@@ -160,7 +196,7 @@ def op9_licenses(spark, sf_dir: str) -> DataFrame:
         F.array_max("phrases.word").alias("last_word"),
         listed(base).alias("base_labels"),
         listed(F.concat(base, own)).alias("labels"),
-        F.when(F.size("phrases") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))).alias("score"),
+        F.when(F.size("phrases") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("notices.containment"), F.lit(0.0))).alias("score"),
     )
 
 
