@@ -112,6 +112,16 @@ def test_stream_windows_follow_the_order(spark):
     assert sorted(r.val for r in out.collect()) == [9, 1234, 5678]
 
 
+@pytest.mark.parametrize("kernel", ["sum", "max", Python(lambda a, b: (a or 0) + 3 * (b or 0))])
+def test_null_values_count_in_windows_as_on_bags(spark, rows, kernel):
+    values = [None, 1, 2, None, None, None, 2**60 + 1, None, None, 5, None]
+    df = spark.createDataFrame([("ab"[i >= 8], v, i) for i, v in enumerate(values)], "key string, val long, seq long")
+    stream = Pipe(ReadStream(spooled(df, "seq", 3), "key string, val long, seq long"))
+    for size in (2, 3):
+        out = stream.add(ReduceByKey(kernel).window(size)).add(Drain()).run(spark).result
+        assert rows(out) == rows(ReduceByKey(kernel).window(size).apply(df))
+
+
 def test_an_empty_stream(spark):
     p = Pipe(ReadFromStdIn(file=io.BytesIO(b""))).add(Map(lambda r: [*kv(r.value, F.lit(1).cast("bigint")), r.seq])).add(ReduceByKey("sum").window(2)).add(Drain())
     assert p.run(spark).result.count() == 0

@@ -34,25 +34,32 @@ def pairwise(kernel: object) -> Callable:
 
 def windows(df: DataFrame, op) -> DataFrame:
     """Full windows, as (key, val). Records of a micro-batch are taken in order of op.order_by; those of an earlier one come
-    first. Null values count like any other, but named kernels can't reduce them, so they are left out."""
-    f, size, order = pairwise(op.kernel), op.size, op.order_by
+    first. Null values count like any other, as on bags; named kernels skip them, and Python functions are
+    given None."""
+    f, size, skips = pairwise(op.kernel), op.size, isinstance(op.kernel, str)
     key, val = df.schema["key"], df.schema["val"]
     plain = lambda x: x.item() if hasattr(x, "item") else x
 
     def step(group: tuple, parts: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, value = state.get if state.exists else (0, None)
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        rows = pd.concat(list(parts)).sort_values("at", kind="stable", na_position="first")
         out = []
-        for v in map(plain, rows["val"]):
-            value = v if not n else f(value, v)
+        for v, null in zip(rows["val"], rows["null"]):
+            v = None if null else plain(v)
+            if not n or skips and value is None:
+                value = v
+            elif not (skips and v is None):
+                value = f(value, v)
             n += 1
             if n == size:
                 out.append(value)
                 n, value = 0, None
         state.update((n, value))
-        yield pd.DataFrame({"key": [plain(group[0])] * len(out), "val": out})
+        yield pd.DataFrame({"key": [plain(group[0])] * len(out), "val": pd.Series(out, dtype=object)})
 
     schema = T.StructType([T.StructField("key", key.dataType), T.StructField("val", val.dataType)])
     kept = T.StructType([T.StructField("n", T.LongType()), T.StructField("val", val.dataType)])
-    rows = df.select("key", "val", order).where(F.col("val").isNotNull())
+    # pandas turns integers beside a null into floats, so nulls are told by a column of their own.
+    filled = F.coalesce("val", F.lit(0).cast(val.dataType)) if isinstance(val.dataType, T.NumericType) else F.col("val")
+    rows = df.select("key", filled.alias("val"), F.col(op.order_by).alias("at"), F.col("val").isNull().alias("null"))
     return rows.groupBy("key").applyInPandasWithState(step, schema, kept, "append", "NoTimeout")
