@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +78,7 @@ class ReduceByKey(Operator):
 
     kernel: Kernel | Python
     structures = frozenset((BAG,))
+    gathers = True
 
     def window(self, size: int, order_by: str = "seq", split: bool | None = None) -> WindowByKey:
         """Over each `size` records of a key, in order of a column. What is left at the end is a window too. `split`: whether
@@ -87,11 +90,46 @@ class ReduceByKey(Operator):
             return df.groupBy("key").agg(NAMED[self.kernel](F.col("val")).alias("val"))
         if isinstance(self.kernel, Python):
             return python_by_key(df, self.kernel.function)
-        # First each partition's values of a key, so that no more than a partition's meet; then those of all partitions.
-        parts = df.groupBy("key", F.spark_partition_id().alias("part")).agg(folded(F.collect_list("val"), self.kernel).alias("val"))
+        # Each batch's values of a key are folded before the shuffle, so that a key has at most one value from each batch.
+        parts = batched(df).select("key", folded(F.col("vals"), self.kernel).alias("val"))
         return parts.groupBy("key").agg(folded(F.collect_list("val"), self.kernel).alias("val"))
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """(key, vals): the values of each key in each Arrow batch; nothing is shuffled."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    read = df.select("key", "val")
+    kind = T.StructType([read.schema["key"], T.StructField("vals", T.ArrayType(read.schema["val"].dataType))])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, starts = by_equal(batch["key"])
+            vals = pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), batch["val"].take(order))
+            keys = batch["key"].take(order.take(pa.array(starts, pa.int64()))) if len(starts) else batch["key"].slice(0, 0)
+            yield pa.RecordBatch.from_arrays([keys, vals.cast(arrow.field("vals").type)], schema=arrow)
+
+    return read.mapInArrow(run, kind)
+
+
+def by_equal(keys: pa.Array) -> tuple[pa.Array, list[int]]:
+    """Row numbers with those of equal keys beside each other, and where each key's begin."""
+    if pa.types.is_nested(keys.type):
+        places: dict = {}
+        for i, k in enumerate(keys.to_pylist()):
+            places.setdefault(repr(k), []).append(i)
+        starts, order = [], []
+        for rows in places.values():
+            starts.append(len(order))
+            order += rows
+        return pa.array(order, pa.int64()), starts
+    codes = keys.dictionary_encode("encode").indices
+    order = pc.sort_indices(codes)
+    sorted_codes = codes.take(order).to_numpy(zero_copy_only=False)
+    return order, np.flatnonzero(np.concatenate(([len(order) > 0], sorted_codes[1:] != sorted_codes[:-1]))).tolist()
+
+
 def python_by_key(df: DataFrame, f: Callable) -> DataFrame:
     """Each partition's records are reduced before the shuffle, so a key has at most one value from each."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -124,6 +162,7 @@ class WindowByKey(Operator):
     order_by: str = "seq"
     split: bool | None = None
     structures = BOTH
+    gathers = True
 
     def __post_init__(self):
         if self.size < 1:

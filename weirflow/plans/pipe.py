@@ -13,7 +13,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .durable import cut
+from .durable import cut, discard
+from .live import merged_live, passed_on
 
 BAG, STREAM = "bag", "stream"
 BOTH = frozenset((BAG, STREAM))
@@ -40,6 +41,10 @@ class Operator:
     def apply(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def par(self, n: int) -> Operator:
+        """The operator by n tasks: of one that shuffles, its result is dealt out to so many, of any other its input."""
+        return Parallel(self, n)
+
 
 class Source(Operator):
     """From outside into a pipe: subclasses define load()."""
@@ -68,6 +73,30 @@ class BinaryOperator(Operator):
         raise NotImplementedError
 
 
+class Parallel(Operator):
+    """An operator and how many tasks apply it."""
+
+    def __init__(self, operator: Operator, n: int):
+        if n < 1:
+            raise PipeError("an operator has one task at least")
+        if (operator.inputs, operator.outputs) != (1, 1):
+            raise PipeError("only an operator with an input and an output takes a number of tasks")
+        self.operator, self.n, self.structures = operator, n, frozenset(operator.structures)
+
+    @property
+    def label(self) -> str:
+        return self.operator.label
+
+    @property
+    def gathers(self) -> bool:
+        return getattr(self.operator, "gathers", False)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self.gathers:
+            return self.operator.apply(df).repartition(self.n)
+        return self.operator.apply(df.repartition(self.n))
+
+
 class TerminationCondition:
     """When iteration ends: done() is asked after each round, which counts from 1."""
 
@@ -227,7 +256,7 @@ class Pipe:
             op = self.operator
             if isinstance(op, Source):
                 return op.load(spark)
-            return op.write(df) if isinstance(op, Sink) else op.apply(df)
+            return op.write(df) if isinstance(op, Sink) else passed_on(df, op.apply(df), op)
         if self.kind == "to":
             for p in self.children:
                 df = p._build(spark, df)
@@ -235,9 +264,13 @@ class Pipe:
         if self.kind == "multi_to":
             first, *branches = self.children
             df = first._build(spark, df)
-            if any(not p.outputs for p in branches) and not df.isStreaming:
-                df = df.cache()  # each sink is an action of its own
-            made = [(p, p._build(spark, df)) for p in branches]
+            # Each sink is an action of its own; what is left after them reads its input again.
+            held = df.cache() if any(not p.outputs for p in branches) and not df.isStreaming else None
+            try:
+                made = [(p, p._build(spark, df)) for p in branches]
+            finally:
+                if held is not None:
+                    held.unpersist()
             frames = [x for p, x in made if p.outputs]
             return merged(frames, "to()") if frames else [x for _, x in made]
         if self.kind == "merge":
@@ -250,16 +283,22 @@ class Pipe:
     def _iterated(self, spark: SparkSession, df: DataFrame) -> DataFrame:
         # What takes no part in the loop is computed once.
         body, held = self.children[0]._hoisted(spark)
-        round = 0
+        # A condition on the rows reads both rounds' rows, so each round is a table then.
+        every = self.cut_every if isinstance(self.until, FixedIterations) else 1
+        round, tables = 0, []
         try:
             while True:
                 before, round = df, round + 1
                 df = body._build(spark, df)
                 require_same(df, before, "iterate()")
-                if round % self.cut_every == 0:
+                if round % every == 0:
                     df = cut(df, "iterate")
+                    tables.append(df)
                 if self.until.done(round, before, df):
-                    return df if round % self.cut_every == 0 or not held else cut(df, "iterate")
+                    return df if round % every == 0 or not held else cut(df, "iterate")
+                if round % every == 0:
+                    discard(*tables[:-1])  # no later round reads them
+                    del tables[:-1]
         finally:
             for x in held:
                 x.unpersist()
@@ -286,17 +325,54 @@ class Pipe:
         """Run a pipe without input or output."""
         if self.inputs or self.outputs:
             raise PipeError("only a pipe that begins with a source and ends in a sink can run")
-        began = time.perf_counter()
+        began, first = time.perf_counter(), last_job(spark)
         result = self._build(spark, None)
-        return Run(result, (time.perf_counter() - began) * 1000)
+        return Run(result, (time.perf_counter() - began) * 1000, stages_after(spark, first))
+
+
+@dataclass(frozen=True)
+class Stage:
+    """What a stage of a run did."""
+
+    stage: int
+    name: str
+    tasks: int
+    done: int
+    failed: int
 
 
 @dataclass(frozen=True)
 class Run:
-    """What the sinks returned, and the wall time."""
+    """What the sinks returned, the wall time, and the stages that ran meanwhile, as far as Spark still knows them."""
 
     result: object
     milliseconds: float
+    stages: tuple[Stage, ...] = ()
+
+    def statistics(self) -> str:
+        """A line a stage."""
+        return "\n".join(f"stage {x.stage}: {x.done} of {x.tasks} tasks, {x.failed} failed: {x.name}" for x in self.stages)
+
+
+def last_job(spark: SparkSession) -> int:
+    return max(known_jobs(spark), default=-1)
+
+
+def known_jobs(spark: SparkSession) -> list[int]:
+    """Of the present job group, or of none."""
+    tracker = spark.sparkContext.statusTracker()
+    return list(tracker.getJobIdsForGroup(spark.sparkContext.getLocalProperty("spark.jobGroup.id")))
+
+
+def stages_after(spark: SparkSession, job: int) -> tuple[Stage, ...]:
+    tracker, out = spark.sparkContext.statusTracker(), {}
+    for j in sorted(x for x in known_jobs(spark) if x > job):
+        info = tracker.getJobInfo(j)
+        for k in info.stageIds if info else ():
+            x = tracker.getStageInfo(k)
+            if x:
+                out[k] = Stage(k, x.name, x.numTasks, x.numCompletedTasks, x.numFailedTasks)
+    return tuple(out[k] for k in sorted(out))
 
 
 @dataclass(frozen=True)
@@ -314,8 +390,9 @@ class Frame(Source):
 
 
 def merged(frames: Iterable[DataFrame], where: str) -> DataFrame:
+    frames = list(frames)
     first, *rest = frames
     for x in rest:
         require_same(x, first, where)
         first = first.unionByName(x)
-    return first
+    return merged_live(frames, first) if rest else first

@@ -1,14 +1,20 @@
-"""Count windows by key on streams: a state of each key holds its open window's count and value."""
+"""Count windows by key on streams: a state of each key holds its open window.
+
+Kernels of two Python values, and the named ones that two values at a time can compute, keep a count and one value. For
+column expressions and lists the state keeps the open window's values, of which there are fewer than the window's size;
+full windows leave as arrays, and columns fold them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.live import Live, mark
 from ..plans.pipe import PipeError
 
 #: The named kernels that two values at a time can compute.
@@ -22,14 +28,29 @@ PAIRS: dict[str, Callable] = {
 }
 
 
-def pairwise(kernel: object) -> Callable:
+def pairwise(kernel: object) -> Callable | None:
+    """The kernel as a function of two Python values; None if columns fold it."""
     from ..operators.reduce import Python
 
     if isinstance(kernel, Python):
         return kernel.function
-    if isinstance(kernel, str) and kernel in PAIRS:
-        return PAIRS[kernel]
-    raise PipeError("on a stream, a kernel is one of " + ", ".join(PAIRS) + " or a Python function")
+    if isinstance(kernel, str):
+        if kernel in PAIRS:
+            return PAIRS[kernel]
+        if kernel != "concat":
+            raise PipeError("on a stream, a named kernel is one of " + ", ".join([*PAIRS, "concat"]))
+    return None
+
+
+def plain(x):
+    return x.item() if hasattr(x, "item") else x
+
+
+def in_order(parts: Iterable[pd.DataFrame]) -> Iterator:
+    """A key's values of a micro-batch, in order; nulls as None."""
+    rows = pd.concat(list(parts)).sort_values("at", kind="stable", na_position="first")
+    for v, null in zip(rows["val"], rows["null"]):
+        yield None if null else plain(v)
 
 
 def windows(df: DataFrame, op) -> DataFrame:
@@ -38,14 +59,11 @@ def windows(df: DataFrame, op) -> DataFrame:
     given None."""
     f, size, skips = pairwise(op.kernel), op.size, isinstance(op.kernel, str)
     key, val = df.schema["key"], df.schema["val"]
-    plain = lambda x: x.item() if hasattr(x, "item") else x
 
     def step(group: tuple, parts: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, value = state.get if state.exists else (0, None)
-        rows = pd.concat(list(parts)).sort_values("at", kind="stable", na_position="first")
         out = []
-        for v, null in zip(rows["val"], rows["null"]):
-            v = None if null else plain(v)
+        for v in in_order(parts):
             if not n or skips and value is None:
                 value = v
             elif not (skips and v is None):
@@ -57,9 +75,40 @@ def windows(df: DataFrame, op) -> DataFrame:
         state.update((n, value))
         yield pd.DataFrame({"key": [plain(group[0])] * len(out), "val": pd.Series(out, dtype=object)})
 
-    schema = T.StructType([T.StructField("key", key.dataType), T.StructField("val", val.dataType)])
-    kept = T.StructType([T.StructField("n", T.LongType()), T.StructField("val", val.dataType)])
+    def gather(group: tuple, parts: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, values = state.get if state.exists else (0, [])
+        held, out = list(values), []
+        for v in in_order(parts):
+            held.append(list(v) if hasattr(v, "__array__") else v)
+            if len(held) == size:
+                out.append(held)
+                held = []
+        state.update((len(held), held))
+        yield pd.DataFrame({"key": [plain(group[0])] * len(out), "val": pd.Series(out, dtype=object)})
+
+    kind = val.dataType if f else T.ArrayType(val.dataType)
+    schema = T.StructType([T.StructField("key", key.dataType), T.StructField("val", kind)])
+    kept = T.StructType([T.StructField("n", T.LongType()), T.StructField("val", kind)])
     # pandas turns integers beside a null into floats, so nulls are told by a column of their own.
     filled = F.coalesce("val", F.lit(0).cast(val.dataType)) if isinstance(val.dataType, T.NumericType) else F.col("val")
     rows = df.select("key", filled.alias("val"), F.col(op.order_by).alias("at"), F.col("val").isNull().alias("null"))
-    return rows.groupBy("key").applyInPandasWithState(step, schema, kept, "append", "NoTimeout")
+    states = rows.groupBy("key").applyInPandasWithState(step if f else gather, schema, kept, "append", "NoTimeout")
+    reduced = (lambda x: x) if f else (lambda x: x.select("key", fold_of(op.kernel, F.col("val")).alias("val")))
+    return mark(reduced(states), Live(window=states, opened=opened, after=reduced))
+
+
+def fold_of(kernel: object, values: Column) -> Column:
+    from ..operators.reduce import folded
+
+    if kernel == "concat":
+        return F.flatten(F.filter(values, lambda v: v.isNotNull()))
+    return folded(values, kernel)
+
+
+def opened(state: DataFrame) -> DataFrame:
+    """(key, val) of the open windows, of the rows of a state store."""
+    # The state is the group's: a struct with the declared fields, packed beside a timeout.
+    value = state.schema["value"].dataType
+    inner = "value.groupState" if "groupState" in value.names else "value"
+    key = F.col("key").getField(state.schema["key"].dataType.names[0])
+    return state.where(F.col(f"{inner}.n") > 0).select(key.alias("key"), F.col(f"{inner}.val").alias("val"))

@@ -1,39 +1,70 @@
-"""Running a stream until its present input is read, and then giving out what its windows still hold."""
+"""Running a stream until its input ends, and then giving out what its open window holds."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.durable import new_path
+from ..plans.live import live
+from ..plans.pipe import PipeError
+
+#: Seconds between looks at whether a stream's feeds have ended.
+LOOK = 0.1
 
 
 def stateful(df: DataFrame) -> bool:
     return "FlatMapGroupsInPandasWithState" in df._jdf.queryExecution().logical().toString()
 
 
-def flushed(df: DataFrame, checkpoint: str) -> DataFrame:
-    """The open windows of a query whose last operator is a window by key; a bag of the stream's schema."""
-    state = df.sparkSession.read.format("statestore").load(checkpoint)
-    # The state is the group's: a struct with the declared fields, packed beside a timeout.
-    value = state.schema["value"].dataType
-    inner = "value.groupState" if "groupState" in value.names else "value"
-    return state.where(F.col(f"{inner}.n") > 0).select(F.col("key").getField(state.schema["key"].dataType.names[0]).alias("key"), F.col(f"{inner}.val").alias("val"))
+def ended(df: DataFrame, writer) -> None:
+    """Start the writer's query and wait until all input is through: the files that are there or, where feeds still write
+    more, those that are there once the feeds end."""
+    feeds = live(df).feeds
+    if not any(f.is_alive() for f in feeds):
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query: StreamingQuery = writer.trigger(processingTime="0 seconds").start()
+        try:
+            while any(f.is_alive() for f in feeds) and query.isActive:
+                time.sleep(LOOK)
+            if query.isActive:
+                query.processAllAvailable()
+        finally:
+            query.stop()
+        if query.exception():
+            raise query.exception()
+    for f in feeds:
+        if f.error is not None:
+            raise f.error
+
+
+def flushed(df: DataFrame, checkpoint: str) -> DataFrame | None:
+    """A bag of what the open windows give, through all that follows the window; None if there is no window."""
+    state = live(df)
+    if state.window is None:
+        if stateful(df):
+            raise PipeError("the stream's windows were made outside of a pipe, so what follows them isn't known")
+        return None
+    rows = state.opened(df.sparkSession.read.format("statestore").load(checkpoint))
+    return state.after(rows)
 
 
 def drained(df: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
-    """Give `each` the micro-batches, then the windows that the end leaves open."""
+    """Give `each` the micro-batches, then what the windows give that the end leaves open."""
     checkpoint = new_path(df.sparkSession, "stream-checkpoint")
-    df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    if stateful(df):
-        each(flushed(df, checkpoint), -1)
+    ended(df, df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
+    rest = flushed(df, checkpoint)
+    if rest is not None:
+        each(rest, -1)
 
 
 def collected(df: DataFrame) -> DataFrame:
-    """All rows that the stream gives out, the last windows included."""
+    """All rows that the stream gives out, the last windows' included."""
     spark, path, checkpoint = df.sparkSession, new_path(df.sparkSession, "stream-rows"), new_path(df.sparkSession, "stream-checkpoint")
-    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(df.schema).parquet(path)
-    return rows.unionByName(flushed(df, checkpoint)) if stateful(df) else rows
+    ended(df, df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint))
+    rows, rest = spark.read.schema(df.schema).parquet(path), flushed(df, checkpoint)
+    return rows if rest is None else rows.unionByName(rest)
