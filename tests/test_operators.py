@@ -185,3 +185,33 @@ def test_plan_reaches_the_scan(spark, sf):
     assert "EqualTo(l_returnflag,R)" in plan
     assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1
     assert "l_comment" not in plan and "l_tax" not in plan
+
+
+def test_any_kernel_combines_before_the_only_shuffle(spark):
+    out = ReduceByKey(lambda a, b: a + b).apply(frame(spark, some()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # The frame is dealt out by the test itself.
+    assert plan.count("Exchange hashpartitioning") == 1
+    below = plan[plan.index("Exchange hashpartitioning") :]
+    assert "MapInArrow" in below and "reduce(" in below
+
+
+@pytest.mark.parametrize("key", ["string", "double", "struct<x: int, y: string>", "array<int>", "date"])
+def test_any_kernel_by_any_key(spark, key):
+    df = spark.range(500).select(F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("n"), F.col("id").alias("val"))
+    made = {
+        "string": F.col("n").cast("string"), "double": F.col("n") / 2, "struct<x: int, y: string>": F.struct(F.col("n").cast("int").alias("x"), F.lit("q").alias("y")),
+        "array<int>": F.array(F.col("n").cast("int")), "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("n").cast("int")),
+    }[key]
+    df = df.select(made.alias("key"), F.col("val"))
+    want = sorted((repr(r.key), r.val) for r in df.groupBy("key").agg(F.sum("val").alias("val")).collect())
+    assert sorted((repr(r.key), r.val) for r in ReduceByKey(lambda a, b: a + b).apply(df).collect()) == want
+
+
+def test_number_of_tasks(spark):
+    df = frame(spark, some())
+    many = Map(lambda r: kv(r.key, r.val)).par(5).apply(df)
+    assert many.rdd.getNumPartitions() == 5 and many.count() == 300
+    assert ReduceByKey("sum").par(2).apply(df).rdd.getNumPartitions() == 2
+    with pytest.raises(ValueError):
+        Map(lambda r: r.val).par(0)

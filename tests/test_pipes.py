@@ -238,3 +238,38 @@ def test_graph_query(spark, sf):
 
 def test_kv_columns(spark):
     assert numbers(spark, 1).add(Map(lambda r: kv(r.value, r.value))).compile(spark).columns == ["key", "val"]
+
+
+def test_a_run_tells_its_stages(spark, tmp_path):
+    run = numbers(spark).add(WriteToDisk(str(tmp_path / "out"))).run(spark)
+    assert run.stages and all(x.done == x.tasks and not x.failed for x in run.stages)
+    assert run.statistics().count("\n") == len(run.stages) - 1
+
+
+def test_sinks_leave_nothing_cached(spark, tmp_path):
+    before = spark._jsc.getPersistentRDDs().size()
+    numbers(spark).to(Pipe(WriteToDisk(str(tmp_path / "a"))), Pipe(plus(1)).add(WriteToDisk(str(tmp_path / "b")))).run(spark)
+    assert spark._jsc.getPersistentRDDs().size() == before
+
+
+def test_tables_lie_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    from weirflow.plans import durable
+
+    monkeypatch.setattr(durable, "shared_folder", lambda _: f"file://{tmp_path}")
+    df = durable.cut(spark.range(3), "three")
+    assert df.cut_path.startswith(f"file://{tmp_path}/weirflow-") and df.count() == 3
+    durable.discard(df, spark.range(1))
+    assert not list(tmp_path.glob("*/three*"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from weirflow.plans import durable
+
+    context = SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        durable.shared_folder(session)
+    context.getCheckpointDir = lambda: "hdfs://h/checkpoints"
+    assert durable.shared_folder(session) == "hdfs://h/checkpoints"

@@ -9,7 +9,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.operators import Filter, Map, Python, ReduceByKey, kv
+from weirflow.operators import Filter, FlatMap, Map, PyMap, Python, ReduceByKey, kv
 from weirflow.plans.pipe import Frame, Pipe, PipeError
 from weirflow.sources import Drain, ReadFromFile, ReadFromHDFS, ReadFromSocket, ReadFromStdIn, ReadStream, ReadTable, WriteTable, WriteToDisk, WriteToFile, WriteToStdOut, frames, spooled
 
@@ -131,3 +131,82 @@ def test_a_kernel_that_streams_lack(spark):
     df = spark.createDataFrame([("a", 1, 0)], "key string, val long, seq long")
     with pytest.raises(PipeError):
         Pipe(ReadStream(spooled(df, "seq"), "key string, val long, seq long")).add(ReduceByKey("count").window(2)).compile(spark)
+
+
+NUMBERS = "key string, val long, seq long"
+
+
+def streamed_and_bag(spark):
+    values = [None, 1, 2, 4, None, 7, -3, 8, 11, None, 5]
+    df = spark.createDataFrame([("ab"[i >= 7], v, i) for i, v in enumerate(values)], NUMBERS)
+    return Pipe(ReadStream(spooled(df, "seq", 3), NUMBERS)), Pipe(Frame(df))
+
+
+AFTER = {
+    "map": lambda p: p.add(Map(lambda r: kv(r.key, r.val * 100))),
+    "other columns": lambda p: p.add(Map(lambda r: {"text": F.concat(r.key, r.val.cast("string"))})),
+    "filter": lambda p: p.add(Filter(lambda r: r.val > 5)),
+    "flat map": lambda p: p.add(FlatMap(lambda r: F.array(r.val, r.val + 1))),
+    "branches": lambda p: p.to(Pipe(Map(lambda r: kv(r.key, -r.val))), Pipe(Filter(lambda r: r.val < 5)).add(Map(lambda r: kv(r.key, r.val)))),
+    "python": lambda p: p.add(PyMap(lambda x: {"key": x["key"], "val": 1 if x["val"] is None else x["val"]}, "key string, val long")),
+}
+
+
+@pytest.mark.parametrize("after", AFTER)
+def test_open_windows_go_through_what_follows(spark, rows, after):
+    stream, bag = streamed_and_bag(spark)
+    windowed = lambda p: AFTER[after](p.add(ReduceByKey("sum").window(2)))
+    assert rows(windowed(stream).add(Drain()).run(spark).result) == rows(windowed(bag).compile(spark))
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_windows_of_expressions_and_lists(spark, rows, size):
+    stream, bag = streamed_and_bag(spark)
+    expression = lambda p: p.add(ReduceByKey(lambda a, b: F.coalesce(a, F.lit(1)) * 3 + F.coalesce(b, F.lit(0))).window(size))
+    lists = lambda p: p.add(Map(lambda r: [*kv(r.key, F.array(r.val, r.seq)), r.seq])).add(ReduceByKey("concat").window(size))
+    for p in (expression, lists):
+        assert rows(p(stream).add(Drain()).run(spark).result) == rows(p(bag).compile(spark))
+
+
+def test_one_window_in_a_stream(spark):
+    stream, _ = streamed_and_bag(spark)
+    two = stream.add(ReduceByKey("sum").window(2)).add(Map(lambda r: [*kv(r.key, r.val), r.val.alias("seq")])).add(ReduceByKey("max").window(2))
+    with pytest.raises(PipeError):
+        two.compile(spark)
+    with pytest.raises(PipeError):
+        stream.add(ReduceByKey("sum").window(2)).merge(stream.add(ReduceByKey("sum").window(3))).add(Drain()).run(spark)
+
+
+def test_a_socket_is_read_while_it_sends(spark):
+    """The server goes on only after the first record came out of the stream."""
+    s, seen, out = socket.create_server(("127.0.0.1", 0)), threading.Event(), []
+
+    def serve():
+        c, _ = s.accept()
+        c.sendall(b"first\nsec")
+        out.append(seen.wait(60))
+        c.sendall(b"ond\ntail")
+        c.close()
+        s.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    from weirflow.streaming.run import drained
+
+    got = []
+
+    def each(part, _):
+        got.extend((r.seq, r.value) for r in part.collect())
+        if got:
+            seen.set()
+
+    drained(Pipe(ReadFromSocket("127.0.0.1", s.getsockname()[1])).compile(spark), each)
+    assert out == [True] and sorted(got) == [(0, "first"), (1, "second")]
+
+
+def test_a_feed_that_fails_fails_the_run(spark):
+    class Broken(io.BytesIO):
+        def read1(self, n=-1):
+            raise OSError("gone")
+
+    with pytest.raises(OSError, match="gone"):
+        Pipe(ReadFromStdIn(file=Broken())).add(Drain()).run(spark)

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import socket
+import tempfile
+import threading
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .apps import links, page_rank, stock_pricing, stock_pricing_windowed, stock_tweets, word_count
+from .apps import links, page_rank, parsed_edges, parsed_options, stock_pricing, stock_pricing_windowed, stock_tweets, word_count
 from .functions.kernels import duplicated, grown, kv_key, kv_text, kv_val, repeated_if_even, tokens
-from .operators import Filter, FlatMap, FoldReduce, JoinFlatMapByKey, Map, PyFlatMap, PyFoldReduce, PyMap, Python, Reduce, ReduceByKey, kv, pair
+from .functions.pricing import binomial_call
+from .operators import Filter, FlatMap, FoldReduce, JoinFlatMapByKey, Map, PyFlatMap, PyFoldReduce, PyJoinFlatMapByKey, PyMap, Python, Reduce, ReduceByKey, kv, pair
 from .plans.durable import new_path
 from .plans.graph import Graph
-from .plans.pipe import BinaryOperator, Pipe
-from .sources import Drain, ReadFromFile, ReadFromStdIn, ReadStream, ReadTable, WriteToDisk, spooled
+from .plans.pipe import BinaryOperator, Pipe, Until
+from .sources import Drain, ReadFromFile, ReadFromHDFS, ReadFromSocket, ReadFromStdIn, ReadStream, ReadTable, WriteToDisk, WriteToFile, WriteToStdOut, spooled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -240,6 +246,14 @@ def join_fact_dim(spark, d):
     return joined.add(ReduceByKey("sum")).add(Map(lambda r: kv(r.key, r.val.cast("double"))))
 
 
+@query(_EVENS.format(_USERS, _NATIONS))
+def join_python(spark, d):
+    def kernel(key, a, b):
+        return [{"key": key, "val": a + b}] * (abs(a + b) % 10 if (a + b) % 2 == 0 else 0)
+
+    return users(d).pair_with(nations(d), PyJoinFlatMapByKey(kernel, "key long, val long"))
+
+
 # Combinators
 
 
@@ -275,6 +289,13 @@ def iterate_join_3(spark, d):
     return nations(d).to(Pipe().pair_with(nations(d), JoinFlatMapByKey(evens)).iterate(3))
 
 
+@query("SELECT cast(n_nationkey AS BIGINT) * 64 AS value FROM nation")
+def iterate_until(spark, d):
+    """Doubled until the largest is over 1000; the largest of 24 is after six rounds."""
+    start = table(d, "nation", "n_nationkey").add(Map(lambda r: r.n_nationkey.cast("bigint")))
+    return start.to(Pipe(Map(lambda r: r.value * 2)).iterate(Until(lambda before, now: now.agg(F.max("value")).first()[0] > 1000)))
+
+
 _EDGES = "SELECT DISTINCT l_partkey % 100 AS src, l_suppkey % 100 AS dst FROM lineitem"
 _RANKS = "r0 AS (SELECT node, cast(1 AS DOUBLE) AS rank FROM nodes)" + "".join(
     f", r{k} AS (SELECT dst AS node, sum(rank / n) * 0.85 + (1 - 0.85) / (SELECT count(*) FROM nodes) AS rank FROM r{k - 1} JOIN edges ON node = src JOIN degree USING (src) GROUP BY dst)" for k in range(1, 11)
@@ -337,6 +358,41 @@ def stock_pricing_variance(spark, d):
     return options(d).to(stock_pricing_windowed()).add(Map(lambda r: kv(r.key, F.round(r.val, 6))))
 
 
+_TREE = " + ".join(f"{float(comb(10, j))} * power(p, {j}) * power(1 - p, {10 - j}) * greatest(s * power(up, {2 * j - 10}) - strike, 0.0)" for j in range(11))
+
+
+@query(
+    f"""
+WITH o AS (SELECT l_partkey AS name, l_extendedprice / l_quantity AS s, l_extendedprice / l_quantity * (0.8 + 0.05 * l_linenumber) AS strike, l_tax AS r, 0.1 + l_discount AS v, l_quantity / 50 AS t FROM lineitem),
+a AS (SELECT *, exp(v * sqrt(t / 10)) AS up FROM o), b AS (SELECT *, (exp(r * t / 10) - 1 / up) / (up - 1 / up) AS p FROM a)
+SELECT name AS key, round(max(exp(-r * t) * ({_TREE})), 6) AS val FROM b GROUP BY name
+"""
+)
+def stock_pricing_binomial(spark, d):
+    price = Map(lambda r: kv(r.name, binomial_call(r.s, r.strike, r.r, r.v, r.t)))
+    return options(d).add(price).add(ReduceByKey("max")).add(Map(lambda r: kv(r.key, F.round(r.val, 6))))
+
+
+@query("SELECT cast(l_partkey AS BIGINT) AS src, cast(l_suppkey AS BIGINT) AS dst FROM lineitem WHERE l_linenumber % 3 <> 0")
+def parse_edges(spark, d):
+    def line(r):
+        edge = F.concat(F.lit(" "), r.l_partkey.cast("string"), F.lit("\t "), r.l_suppkey.cast("string"))
+        return F.when(r.l_linenumber % 3 != 0, edge).otherwise(F.concat(r.l_partkey.cast("string"), F.lit(" none")))
+
+    return table(d, "lineitem", "l_partkey", "l_suppkey", "l_linenumber").add(Map(line)).to(parsed_edges())
+
+
+@query(
+    "SELECT cast(l_partkey AS VARCHAR) AS name, cast(l_orderkey % 90 + 10 AS DOUBLE) AS s, cast(l_suppkey % 90 + 10 AS DOUBLE) AS strike, cast(0.05 AS DOUBLE) AS r, cast(0 AS DOUBLE) AS divq, cast(0.25 AS DOUBLE) AS v, cast(l_linenumber AS DOUBLE) AS t, CASE WHEN l_linestatus = 'O' THEN 'C' ELSE 'P' END AS kind, cast(NULL AS DOUBLE) AS divs, cast(1.5 AS DOUBLE) AS reference FROM lineitem"
+)
+def parse_options(spark, d):
+    def line(r):
+        kind = F.when(r.l_linestatus == "O", "C").otherwise("P")
+        return F.concat_ws(" ", r.l_partkey, r.l_orderkey % 90 + 10, r.l_suppkey % 90 + 10, F.lit("0.05"), F.lit("0.0"), F.lit("0.25"), r.l_linenumber, kind, F.lit("none"), F.lit("1.5"))
+
+    return table(d, "lineitem", "l_partkey", "l_orderkey", "l_suppkey", "l_linenumber", "l_linestatus").add(Map(line)).to(parsed_options())
+
+
 _NAMES = "[" + ", ".join(f"'{x}'" for x in STOCKS) + "]"
 
 
@@ -362,10 +418,69 @@ def io_text_roundtrip(spark, d):
     return Pipe(ReadFromFile(path))
 
 
+@query(f"SELECT '(' || key || ':' || cast(val AS VARCHAR) || ')' AS value FROM {_PAIRS}")
+def sink_formatter(spark, d):
+    path = new_path(spark, "formatted")
+    pairs(d).add(WriteToDisk(path, lambda r: F.concat(F.lit("("), r.key, F.lit(":"), r.val.cast("string"), F.lit(")")))).run(spark)
+    return Pipe(ReadFromHDFS(path))
+
+
+@query("SELECT '<' || cast(n_regionkey AS VARCHAR) || ', ' || cast(n_nationkey AS VARCHAR) || '>' AS value FROM nation")
+def sink_one_file(spark, d):
+    """The driver's file is this machine's, so the driver reads it back."""
+    with tempfile.NamedTemporaryFile("r") as f:
+        nations(d).add(WriteToFile(f.name)).run(spark)
+        lines = f.read().splitlines()
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+def printed(spark: SparkSession, pipe: Pipe) -> DataFrame:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        pipe.run(spark)
+    return spark.createDataFrame([(x,) for x in out.getvalue().splitlines()], "value string")
+
+
+@query("SELECT n_name AS value FROM nation")
+def sink_stdout(spark, d):
+    return printed(spark, Pipe(ReadFromStdIn(b";", file=io.BytesIO(";".join(nation_names(spark, d)).encode()))).add(WriteToStdOut()))
+
+
+@query("SELECT '<' || n_name || '>' AS value FROM nation")
+def sink_stdout_formatter(spark, d):
+    angled = WriteToStdOut(lambda r: F.concat(F.lit("<"), r.value, F.lit(">")))
+    return printed(spark, Pipe(ReadFromStdIn(b";", file=io.BytesIO(";".join(nation_names(spark, d)).encode()))).add(angled))
+
+
+def served(data: bytes) -> int:
+    """The port of a server that sends the bytes to who connects first, and closes."""
+    s = socket.create_server(("127.0.0.1", 0))
+
+    def serve() -> None:
+        with s:
+            c, _ = s.accept()
+            with c:
+                c.sendall(data)
+
+    threading.Thread(target=serve, daemon=True).start()
+    return s.getsockname()[1]
+
+
+@query("SELECT cast(n_regionkey AS BIGINT) AS key, cast(max(n_nationkey) AS BIGINT) AS val FROM (SELECT *, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) // 2 AS w FROM nation) GROUP BY n_regionkey, w")
+def socket_window(spark, d):
+    rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").select("n_regionkey", "n_nationkey").toLocalIterator()
+    text = "".join(f"<{a}, {b}>;" for a, b in rows) + "<9, a tail that nothing ends"
+    parsed = Map(lambda r: [*kv(kv_key(r.value).cast("bigint"), kv_val(r.value)), r.seq])
+    return Pipe(ReadFromSocket("127.0.0.1", served(text.encode()), b";")).add(parsed).add(ReduceByKey("max").window(2)).add(Drain()).run(spark).result
+
+
+def nation_names(spark: SparkSession, d: str) -> list[str]:
+    return [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").select("n_name").toLocalIterator()]
+
+
 @query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS seq, n_name AS value FROM nation")
 def frame_delimited(spark, d):
-    names = [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").select("n_name").toLocalIterator()]
-    return Pipe(ReadFromStdIn(b";", file=io.BytesIO(";".join(names).encode()))).add(Drain()).run(spark).result
+    return Pipe(ReadFromStdIn(b";", file=io.BytesIO(";".join(nation_names(spark, d)).encode()))).add(Drain()).run(spark).result
 
 
 def streamed(spark: SparkSession, d: str) -> Pipe:
@@ -382,15 +497,61 @@ def stream_window_python_8(spark, d):
     return streamed(spark, d).add(ReduceByKey(Python(max)).window(8)).add(Drain()).run(spark).result
 
 
+@query(f"SELECT key, val * 100 AS val FROM ({_window('sum(val)', 2)})")
+def stream_window_then_map(spark, d):
+    return streamed(spark, d).add(ReduceByKey("sum").window(2)).add(Map(lambda r: kv(r.key, r.val * 100))).add(Drain()).run(spark).result
+
+
+@query(f"SELECT key || '!' AS value FROM ({_window('sum(val)', 2)}) WHERE val > 5")
+def stream_window_then_filter(spark, d):
+    windowed = streamed(spark, d).add(ReduceByKey("sum").window(2)).add(Filter(lambda r: r.val > 5))
+    return windowed.add(Map(lambda r: F.concat(r.key, F.lit("!")))).add(Drain()).run(spark).result
+
+
+@query(f"SELECT key, val FROM ({_window('max(val)', 8)}) UNION ALL SELECT key, -val FROM ({_window('max(val)', 8)})")
+def stream_window_branches(spark, d):
+    windowed = streamed(spark, d).add(ReduceByKey("max").window(8))
+    return windowed.to(Pipe(bare()), Pipe(Map(lambda r: kv(r.key, -r.val)))).add(Drain()).run(spark).result
+
+
+@query(SQL["rbk_window_expr_4"])
+def stream_window_expr_4(spark, d):
+    return streamed(spark, d).add(ReduceByKey(lambda a, b: a * 3 + b).window(4)).add(Drain()).run(spark).result
+
+
+@query(f"SELECT key, string_agg(cast(val AS VARCHAR), ',' ORDER BY seq) AS val FROM (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY seq) - 1) // 5 AS w FROM {_PAIRS}) GROUP BY key, w")
+def stream_window_concat_5(spark, d):
+    lists = streamed(spark, d).add(Map(lambda r: [*kv(r.key, F.array(r.val)), r.seq])).add(ReduceByKey("concat").window(5))
+    return lists.add(Map(lambda r: kv(r.key, F.array_join(r.val, ",")))).add(Drain()).run(spark).result
+
+
 @query(f"SELECT key, val + 1 AS val FROM {_PAIRS} WHERE val > 0")
 def stream_map_filter(spark, d):
     return streamed(spark, d).add(Filter(lambda r: r.val > 0)).add(Map(lambda r: kv(r.key, r.val + 1))).add(Drain()).run(spark).result
 
 
+@query(
+    "SELECT * FROM (VALUES ('ReadTable', 'Map', ''), ('Map', 'ReduceByKey', ''), ('Map', 'Filter', ''), ('Filter', 'Merge', ''), ('ReadTable', 'Merge', ''), ('ReduceByKey', 'Merge', ''), ('Merge', 'Map', ''), ('Map', 'Map', 'again')) t(source, target, label)"
+)
+def pipe_graph(spark, d):
+    two = pairs(d).to(Pipe(ReduceByKey("max")), Pipe(Filter(lambda r: r.val > 0)))
+    return edges_of(spark, Graph(two.merge(table(d, "nation")).to(Pipe(bare()).iterate(2))))
+
+
+@query("SELECT cast(n_nationkey % 7 AS BIGINT) AS key, cast(sum(n_regionkey) AS BIGINT) AS val FROM nation GROUP BY 1")
+def parallelism(spark, d):
+    keyed = Map(lambda r: kv((r.n_nationkey % 7).cast("bigint"), r.n_regionkey.cast("bigint"))).par(4)
+    return table(d, "nation", "n_nationkey", "n_regionkey").add(keyed).add(ReduceByKey("sum").par(2))
+
+
+def edges_of(spark: SparkSession, g: Graph) -> DataFrame:
+    return spark.createDataFrame([(g.nodes[a], g.nodes[b], x) for a, b, x in g.edges], "source string, target string, label string")
+
+
 @query()
 def semantic_graph(spark, d):
     g = Graph(pairs(d).add(bare()).to(Pipe().pair_with(users(d).merge(users(d)), _Named()).iterate(2)))
-    return spark.createDataFrame([(g.nodes[a], g.nodes[b], x) for a, b, x in g.edges], "source string, target string, label string")
+    return edges_of(spark, g)
 
 
 class _Named(BinaryOperator):

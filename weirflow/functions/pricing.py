@@ -45,25 +45,35 @@ def binomial_call(s: Column, strike: Column, r: Column, v: Column, t: Column, st
 
 def difference_call_values(s: np.ndarray, strike: np.ndarray, r: np.ndarray, v: np.ndarray, t: np.ndarray, prices: int = 50) -> np.ndarray:
     """European calls by explicit finite differences, all options at once; prices up to twice the strike, and beyond that
-    the boundary's value. The steps in time are as many as stability asks for of the most volatile option."""
+    the boundary's value. Each option has as many steps in time as stability asks for, so its price doesn't depend on those
+    beside it. An option with a null or no volatility, strike or time has a price that is no number."""
     top = 2.0 * strike
     ds = top / prices
-    steps = max(1, int(np.ceil(1.05 * (prices * prices * np.max(v) ** 2 + np.max(r)) * np.max(t)))) if len(s) else 1
-    dt = t / steps
+    fit = np.isfinite(s) & np.isfinite(ds) & np.isfinite(r) & np.isfinite(v) & np.isfinite(t) & (ds > 0)
+    steps = np.where(fit, np.maximum(1, np.ceil(1.05 * (prices * prices * v**2 + r) * t)), 0).astype(int)
+    # Those with the most steps first: who still takes a step is at the front.
+    order = np.argsort(-steps, kind="stable")
+    top, ds, r, v, t, s, strike, steps = (x[order] for x in (top, ds, r, v, t, s, strike, steps))
+    dt = t / np.maximum(steps, 1)
     i = np.arange(prices + 1)[None, :]
     grid = np.maximum(i * ds[:, None] - strike[:, None], 0.0)
     rr, vv, dd = r[:, None], v[:, None], dt[:, None]
     inner = i[:, 1:-1]
     a, b, c = 0.5 * dd * (vv**2 * inner**2 - rr * inner), 1 - dd * (vv**2 * inner**2 + rr), 0.5 * dd * (vv**2 * inner**2 + rr * inner)
-    for n in range(1, steps + 1):
-        grid[:, 1:-1] = a * grid[:, :-2] + b * grid[:, 1:-1] + c * grid[:, 2:]
-        grid[:, 0] = 0.0
-        grid[:, -1] = top - strike * np.exp(-r * dt * n)
-    x = s / ds
+    for n in range(1, (int(steps[0]) if len(steps) else 0) + 1):
+        m = int(np.searchsorted(-steps, -n, side="right"))
+        g = grid[:m]
+        g[:, 1:-1] = a[:m] * g[:, :-2] + b[:m] * g[:, 1:-1] + c[:m] * g[:, 2:]
+        g[:, 0] = 0.0
+        g[:, -1] = top[:m] - strike[:m] * np.exp(-r[:m] * dt[:m] * n)
+    ok = steps > 0
+    x = np.where(ok, s, 0.0) / np.where(ok, ds, 1.0)
     k = np.clip(x.astype(int), 0, prices - 1)
     rows = np.arange(len(s))
     between = grid[rows, k] + (x - k) * (grid[rows, k + 1] - grid[rows, k])
-    return np.where(s >= top, s - strike * np.exp(-r * t), between)
+    out = np.empty(len(s))
+    out[order] = np.where(ok, np.where(s >= top, s - strike * np.exp(-r * t), between), np.nan)
+    return out
 
 
 def difference_call(s: Column, strike: Column, r: Column, v: Column, t: Column) -> Column:

@@ -36,6 +36,8 @@ class Live:
     window: DataFrame | None = None
     opened: Callable[[DataFrame], DataFrame] | None = None
     after: Callable[[DataFrame], DataFrame] | None = None
+    #: All rows come through the window, so they can be made of its batches, however many branches follow it.
+    whole: bool = False
 
 
 def live(df: DataFrame) -> Live:
@@ -78,5 +80,7 @@ def merged_live(frames: list[DataFrame], made: DataFrame) -> DataFrame:
     feeds = tuple(dict.fromkeys(f for x in states for f in x.feeds))
     if not windowed:
         return mark(made, Live(feeds))
-    # Branches of one windowed stream hold equal states, so one of them is read for all.
-    return mark(made, replace(windowed[0], feeds=feeds, after=lambda bag: reduce(DataFrame.unionByName, [x.after(bag) for x in windowed])))
+    if len(windowed) > 1 and len(windowed) < len(states):
+        raise PipeError("branches of a windowed stream can be merged with each other only")
+    each = [x.after for x in windowed]
+    return mark(made, replace(windowed[0], feeds=feeds, whole=len(windowed) == len(states) == len(frames), after=lambda bag: reduce(DataFrame.unionByName, [f(bag) for f in each])))

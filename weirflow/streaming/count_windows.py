@@ -1,14 +1,15 @@
 """Count windows by key on streams: a state of each key holds its open window.
 
 Kernels of two Python values, and the named ones that two values at a time can compute, keep a count and one value. For
-column expressions and lists the state keeps the open window's values, of which there are fewer than the window's size;
-full windows leave as arrays, and columns fold them.
+column expressions and lists the state keeps the open window's values, of which there are fewer than the window's size
+(or as many as its lists hold); full windows leave as arrays, and columns fold them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def pairwise(kernel: object) -> Callable | None:
 
 
 def plain(x):
-    return x.item() if hasattr(x, "item") else x
+    return x.item() if isinstance(x, np.generic) else x
 
 
 def in_order(parts: Iterable[pd.DataFrame]) -> Iterator:
@@ -79,30 +80,36 @@ def windows(df: DataFrame, op) -> DataFrame:
         n, values = state.get if state.exists else (0, [])
         held, out = list(values), []
         for v in in_order(parts):
-            held.append(list(v) if hasattr(v, "__array__") else v)
-            if len(held) == size:
+            n += 1
+            held += [v] if alone else [] if v is None else list(v)
+            if n == size:
                 out.append(held)
-                held = []
-        state.update((len(held), held))
+                n, held = 0, []
+        state.update((n, held))
         yield pd.DataFrame({"key": [plain(group[0])] * len(out), "val": pd.Series(out, dtype=object)})
 
-    kind = val.dataType if f else T.ArrayType(val.dataType)
+    # Lists are held as their values, one after another, and as text: pandas has no nulls in lists of numbers.
+    alone, nested = op.kernel != "concat", T.ArrayType | T.MapType | T.StructType | T.BinaryType
+    if not f and isinstance(val.dataType if alone else val.dataType.elementType, nested):
+        raise PipeError("on a stream, a column expression reduces plain values, and concat lists of plain values")
+    kind = val.dataType if f else T.ArrayType(val.dataType if alone else T.StringType())
     schema = T.StructType([T.StructField("key", key.dataType), T.StructField("val", kind)])
     kept = T.StructType([T.StructField("n", T.LongType()), T.StructField("val", kind)])
     # pandas turns integers beside a null into floats, so nulls are told by a column of their own.
     filled = F.coalesce("val", F.lit(0).cast(val.dataType)) if isinstance(val.dataType, T.NumericType) else F.col("val")
+    if not alone:
+        filled = F.col("val").cast(kind)
     rows = df.select("key", filled.alias("val"), F.col(op.order_by).alias("at"), F.col("val").isNull().alias("null"))
     states = rows.groupBy("key").applyInPandasWithState(step if f else gather, schema, kept, "append", "NoTimeout")
-    reduced = (lambda x: x) if f else (lambda x: x.select("key", fold_of(op.kernel, F.col("val")).alias("val")))
-    return mark(reduced(states), Live(window=states, opened=opened, after=reduced))
+    made = F.col("val") if f else folded_values(op.kernel) if alone else F.col("val").cast(val.dataType)
+    reduced = lambda x: x.select("key", made.alias("val"))
+    return mark(reduced(states), Live(window=states, opened=opened, after=reduced, whole=True))
 
 
-def fold_of(kernel: object, values: Column) -> Column:
+def folded_values(kernel: Callable[[Column, Column], Column]) -> Column:
     from ..operators.reduce import folded
 
-    if kernel == "concat":
-        return F.flatten(F.filter(values, lambda v: v.isNotNull()))
-    return folded(values, kernel)
+    return folded(F.col("val"), kernel)
 
 
 def opened(state: DataFrame) -> DataFrame:

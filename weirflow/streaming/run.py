@@ -54,9 +54,11 @@ def flushed(df: DataFrame, checkpoint: str) -> DataFrame | None:
 
 
 def drained(df: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
-    """Give `each` the micro-batches, then what the windows give that the end leaves open."""
-    checkpoint = new_path(df.sparkSession, "stream-checkpoint")
-    ended(df, df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
+    """Give `each` the micro-batches, then what the windows give that the end leaves open. What follows a window is applied
+    to the batches that it gives."""
+    checkpoint, state = new_path(df.sparkSession, "stream-checkpoint"), live(df)
+    source, step = (state.window, lambda bag, n: each(state.after(bag), n)) if state.whole else (df, each)
+    ended(df, source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint))
     rest = flushed(df, checkpoint)
     if rest is not None:
         each(rest, -1)
@@ -64,7 +66,13 @@ def drained(df: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
 
 def collected(df: DataFrame) -> DataFrame:
     """All rows that the stream gives out, the last windows' included."""
-    spark, path, checkpoint = df.sparkSession, new_path(df.sparkSession, "stream-rows"), new_path(df.sparkSession, "stream-checkpoint")
-    ended(df, df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint))
-    rows, rest = spark.read.schema(df.schema).parquet(path), flushed(df, checkpoint)
-    return rows if rest is None else rows.unionByName(rest)
+    spark, path = df.sparkSession, new_path(df.sparkSession, "stream-rows")
+    schema = df.schema
+    spark.createDataFrame([], schema).write.parquet(f"{path}/none")
+
+    def put(part: DataFrame, n: int) -> None:
+        # A batch that is given again replaces what it left.
+        part.write.mode("overwrite").parquet(f"{path}/{'open' if n < 0 else n}")
+
+    drained(df, put)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
