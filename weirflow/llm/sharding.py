@@ -40,9 +40,19 @@ class Tree:
     def shards(self) -> int:
         return sum(len(rack) for region in self.regions for rack in region)
 
+    def grown(self, weight: float = 1.0) -> Tree:
+        """With one more shard, in a region of its own. No other weight changes, so rows move into the new shard only."""
+        return Tree((*self.regions, ((float(weight),),)))
+
+    def __post_init__(self):
+        weights = [w for region in self.regions for rack in region for w in rack]
+        if not weights or any(not 0 <= w < float("inf") for w in weights) or not any(weights):
+            raise ValueError("shards have weights of 0 or more, and not all of them 0")
+
 
 def tree(shards: int = SHARDS, base: int = BASE, region: int = REGION, rack: int = RACK) -> Tree:
-    """Equal weights. One more shard, beyond `base`, opens a region, so it takes rows only into itself."""
+    """Equal weights: regions of racks of shards up to `base`, then regions of one shard. Below `base` a tree of one shard more
+    has another weight inside, so rows move beside it too; Tree.grown() adds a shard to any tree without that."""
     cut = lambda x, n: [x[i : i + n] for i in range(0, len(x), n)]
     full = cut([1.0] * min(shards, base), region)
     return Tree(tuple(tuple(tuple(r) for r in cut(x, rack)) for x in full) + ((((1.0,),),) * max(0, shards - base)))
@@ -113,6 +123,12 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return F.pandas_udf(shards, "int")(F.coalesce(key.cast("bigint"), F.lit(-1).cast("bigint")))
 
 
+def weighted(weights: list[float], region: int = REGION, rack: int = RACK) -> Tree:
+    """Shards of these weights, in regions of `region` and racks of `rack`."""
+    cut = lambda x, n: [x[i : i + n] for i in range(0, len(x), n)]
+    return Tree(tuple(tuple(tuple(map(float, r)) for r in cut(x, rack)) for x in cut(list(weights), region)))
+
+
 def with_slots(rows: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
     """`rows` with slot, a gapless number from 0 in each shard by `order`.
 
@@ -135,22 +151,24 @@ def with_slots(rows: DataFrame, order: list[str], shard: str = "shard") -> DataF
     return joined.withColumn("slot", F.col("slot_row") + F.col("slot_from")).drop("slot_place", "slot_part", "slot_row", "slot_shard", "slot_of", "slot_from")
 
 
-def sharded(docs: DataFrame, *, shards: int = SHARDS, id: str = "doc_id", text: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, *, shards: int | Tree = SHARDS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard per row of `docs`; shard and grown_shard follow from id and
-    the count of shards alone.
+    the tree alone. `shards`: a count of equal shards, or a tree of weighted ones. grown_shard is of the same tree with a
+    shard more in a region of its own, which takes rows only into itself.
 
     Only `id`, 64 bits, and `text` are read, so other columns may have any name. A null text has no bytes; null ids count
     as -1 and so share a shard; rows that repeat an id share its shard and have slots of their own. Slots
     follow id (nulls first), checksum and size. An empty table gives none.
     """
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    present = shards if isinstance(shards, Tree) else tree(shards)
     rows = docs.select(
         F.col(id).cast("long").alias("doc_id"),
         (F.octet_length(data) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(F.col(id), tree(shards)).alias("shard"),
-        shard_of(F.col(id), tree(shards + 1)).alias("grown_shard"),
+        shard_of(F.col(id), present).alias("shard"),
+        shard_of(F.col(id), present.grown()).alias("grown_shard"),
     )
     # Texts are read once: dealing out by ranges samples its input first.
     rows = written(rows, "shard-rows")
@@ -200,7 +218,7 @@ crc AS (
          xor(list_reduce(list_transform(range(1, strlen(text) + 1), lambda i: cast('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)),
              lambda c, b: xor({_crc_table()}[(xor(c, b) & 255) + 1], c >> 8), cast(4294967295 AS BIGINT)), cast(4294967295 AS BIGINT)) AS crc
   FROM (SELECT doc_id, id, text, hex(encode(text)) AS h FROM d)),
-s AS ({shard_sql(f"({shard_sql('crc', tree(SHARDS), 'shard')})", tree(SHARDS + 1), "grown")})
+s AS ({shard_sql(f"({shard_sql('crc', tree(SHARDS), 'shard')})", tree(SHARDS).grown(), "grown")})
 SELECT doc_id, cast(size AS BIGINT) AS size, cast(crc AS BIGINT) AS text_crc32, 'key' AS law, shard,
        cast(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS BIGINT) AS slot, grown AS grown_shard
 FROM s
