@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.durable import cut as written
+from ..plans.durable import discard
+from ..plans.durable import new_path as shared_path
+
+__all__ = ["arrow_map", "arrow_schema", "bounded_batches", "discard", "row_key", "shared_path", "texts", "utf8", "words", "written"]
+
 #: Rows in an Arrow batch that goes to Python; with the session's limit of bytes per batch it bounds a worker's memory.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -61,19 +65,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, spark.checkpoint.dir; where that is unset, as in tests, in a folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or own_folder()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@functools.cache
-def own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="weirflow-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: its lineage ends there, and lost executors can't take it along."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_key(*columns: str) -> Column:
+    """128 bits that the columns' values decide; a null is not an empty text."""
+    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
+    return F.unhex(F.md5(F.concat_ws("\x00", *[F.concat(F.octet_length(x).cast("string"), F.lit(":"), x) for x in parts]).cast("binary")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts, written
+from .common import arrow_map, discard, texts, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -28,6 +28,8 @@ SHARD_MOST = 20_000
 FREE_BITS = 14
 #: Ids up to which they are broadcast, 8 bytes each, to remove their rows: 16 MB as a hash table. More are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Rows from which a key is hot: what belongs to it is broadcast. There are at most a HOT_ROWS-th as many hot keys as rows.
+HOT_ROWS = 1_000_000
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -154,16 +156,29 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, mean:
         keyed = written(large.join(deeper, "mask").select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value")), "simhash-deeper")
 
 
+def with_value(rows: DataFrame, keyed: DataFrame, key: str, hot: int | None = None) -> DataFrame:
+    """The inner join of `rows` with `keyed`, whose `key` is unique and whose n counts its rows. The values of hot keys are
+    broadcast, so that no task gets all rows of one."""
+    some = keyed.where(F.col("n") > (HOT_ROWS if hot is None else hot)).drop("n")
+    plain = rows.join(keyed.drop("n"), key)
+    if some.isEmpty():
+        return plain
+    others = rows.join(F.broadcast(some.select(key)), key, "left_anti").join(keyed.drop("n"), key)
+    return rows.join(F.broadcast(some), key).unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each linked node but the smallest of its component, and that smallest. Large-star and small-star by turns."""
     edges, before = written(edges, "simhash-links"), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "simhash-large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "simhash-least")
+        large = written(with_value(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "simhash-large-star")
+        discard(edges, least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "simhash-least")
+        small = with_value(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "simhash-small-star")
+        discard(large, least)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges
@@ -178,32 +193,38 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     smallest while another id is reachable, and component_id is null where none is. An empty table gives none.
     """
     fps = written(fingerprints(docs, id=id, text=text), "simhash-fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-nodes")
+    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")), "simhash-nodes")
     stars = components(links(nodes.select("fp"), radius, most, mean))
     # Of the linked only; any other fingerprint is a component of its own.
     roots = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     smallest = roots.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = roots.join(smallest, "root").select("fp", "component_id")
-    labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    labels = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id"))
     labels = written(labels, "simhash-labels")
-    return fps.join(labels, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    discard(stars, nodes)
+    return with_value(fps, labels, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, *, most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
     """The rows of `docs`, all columns kept, whose id is the smallest of their component; of rows that repeat such an id,
-    one of them. Rows whose id is null stay, as nothing tells them apart. Texts are shuffled only if more than
-    `most_broadcast` ids go."""
+    one of them. Rows whose id is null stay, as nothing tells them apart. Columns may have any names. An empty table gives
+    none. Texts are shuffled only if more than `most_broadcast` ids go."""
     id = options.get("id", "doc_id")
-    found = written(near_duplicates(docs, **options).select(F.col(id).alias("near_id"), "component_id"), "simhash-groups")
+    # A name that no column has, whatever the case.
+    taken = {c.lower() for c in docs.columns}
+    near = next(x for k in range(len(taken) + 1) if (x := f"near_id_{k}") not in taken)
+    found = written(near_duplicates(docs, **options).select(F.col(id).alias(near), F.col("component_id").alias("near_component")), "simhash-groups")
     bounded = lambda ids: F.broadcast(ids) if ids.count() <= most_broadcast else ids
-    removed = written(found.where("near_id <> component_id").select("near_id").distinct(), "simhash-removed")
-    kept = docs.join(bounded(removed), docs[id] == F.col("near_id"), "left_anti")
-    repeated = written(found.where("near_id = component_id").groupBy("near_id").count().where("count > 1").select("near_id"), "simhash-repeated")
+    removed = written(found.where(F.col(near) != F.col("near_component")).select(near).distinct(), "simhash-removed")
+    repeated = written(found.where(F.col(near) == F.col("near_component")).groupBy(near).count().where("count > 1").select(near), "simhash-repeated")
+    discard(found)
+    same = F.col(id).cast("long") == F.col(near)
+    kept = docs.join(bounded(removed), same, "left_anti")
     if repeated.isEmpty():
         return kept
     repeated = bounded(repeated)
-    once = kept.join(repeated, kept[id] == F.col("near_id"), "left_semi").dropDuplicates([id])
-    return kept.join(repeated, kept[id] == F.col("near_id"), "left_anti").unionByName(once)
+    once = kept.join(repeated, same, "left_semi").dropDuplicates([id])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
