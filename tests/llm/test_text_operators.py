@@ -346,3 +346,61 @@ def test_small_categories_are_kept_whole_and_leave_a_tenth():
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_topics_follow_the_words(spark):
+    from weirflow.llm.mixing import topic
+
+    lists = {"law": ["court", "act"], "sea": ["ship", "act", "été"]}
+    texts = ["The COURT, the court; a ship", "ship été", "act", "nothing", "", None, "courts ships"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(topic(F.col("text"), lists)).collect()] == ["law", "sea", "law", None, None, None, None]
+
+
+@pytest.mark.parametrize("source", [None, "src0"])
+def test_sweeps_converge(spark, source):
+    from weirflow.llm.mixing import SWEEPS
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = calibrated(docs if source is None else docs.where(F.col("source") != source), document_marginals(), token_count(F.col("text")), TARGETS)
+    cells = sorted((tuple(r[0]), float(r[1])) for r in rows.groupBy("mix_groups").agg(F.sum("mix_tokens")).collect())
+    goals = list(TARGETS.values())
+    once, longer = fit(cells, goals), fit(cells, goals, 10 * SWEEPS)
+    assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip(once, longer, strict=True))
+
+
+def test_a_grown_tree_takes_rows_only_into_itself(spark):
+    import numpy as np
+
+    from weirflow.llm.sharding import shards_of, weighted
+
+    keys = np.arange(-3000, 9000, dtype=np.int64) * 7919
+    for n in range(1, 51):
+        a, b = shards_of(keys, tree(n)), shards_of(keys, tree(n).grown())
+        assert set(b[a != b]) == {n} and len(np.unique(a)) == n
+    some = weighted([1.0, 0.0, 3.0, *[0.5] * 20])
+    a, b = shards_of(keys, some), shards_of(keys, some.grown(2.0))
+    assert set(b[a != b]) == {some.shards} and 1 not in a and math.isclose((a == 2).mean() / (a == 0).mean(), 3, rel_tol=0.2)
+    got = sharded(spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), shards=39).collect()
+    assert {r.grown_shard for r in got if r.grown_shard != r.shard} == {39}
+
+
+@pytest.mark.parametrize("bad", [[], [0.0], [1.0, -1.0], [float("nan")]])
+def test_weights_that_cannot_be(bad):
+    from weirflow.llm.sharding import weighted
+
+    with pytest.raises(ValueError):
+        weighted(bad)
+
+
+def test_hot_keys_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_ROWS", 3)
+    base = [prose(60, 300) for _ in range(5)]
+    texts = [*["", None, " "] * 4, *base, *[base[0]] * 9, *[near(base[1], 1) for _ in range(9)]]
+    rows = [(k, t, "x", k % 2, 0.5) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_id_0 string, NEAR_ID_1 int, component_id double")
+    fps = [simhash(t) for t in texts]
+    want = components(fps, list(range(len(texts))))
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == dict(enumerate(want))
+    kept = S.one_of_each_group(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))

@@ -5,7 +5,7 @@ there are at most as many cells as the targets allow, whatever the input. Each s
 marginal after the other. A document's probability is its cell's factor, scaled so that the largest is 1: then expected
 tokens have the target shares exactly. Cells that would have more than MOST times the mean weight, those of categories too
 small for their target, are kept whole instead, and the others are fitted without them: else a single document of a rare
-category would empty the sample. Its draw is a hash of its id, so the sample is the same in any run.
+category would empty the sample. A document's draw is a hash of its id, so the sample is the same in any run.
 """
 
 from __future__ import annotations
@@ -25,17 +25,36 @@ MOST = 10.0
 
 Targets = dict[str, dict[str, float]]
 
-#: Relative weights. The table has no topics; texts' lengths modulo 4 stand in for a column of them.
+#: Words that tell what a text is about; the table has no topics, so common words of its four languages tell how it speaks:
+#: of when and where, of what is, or of what for. Other lists are a parameter.
+TOPIC_WORDS: dict[str, list[str]] = {
+    "time": "was at from on when then before after war bei nach vor als auf im était dans depuis sur quand era desde cuando antes del".split(),
+    "state": "is are be it ist sind sein es est sont être ce son ser".split(),
+    "aim": "to for with by zu für mit um pour avec par afin para con por".split(),
+}
+
+#: Relative weights.
 TARGETS: Targets = {
     "source": {**{f"src{k}": 5.0 for k in range(20)}, OTHER: 5.0},
     "lang": {"en": 55.0, "de": 16.0, "fr": 16.0, "es": 13.0, OTHER: 1.0},
-    "topic": {"0": 28.0, "1": 24.0, "2": 24.0, "3": 24.0, OTHER: 1.0},
+    "topic": {"time": 49.0, "state": 25.0, "aim": 25.0, OTHER: 1.0},
 }
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
-def topic(text: Column) -> Column:
-    """The stand-in for a topic; a null text counts as empty."""
-    return (F.char_length(F.coalesce(text, F.lit(""))) % 4).cast("string")
+def topic(text: Column, lists: dict[str, list[str]] | None = None) -> Column:
+    """The list of which the text has the most different words, the first of equals; null if it has none of any, or no
+    text. Words are runs of digits, ASCII letters and non-ASCII characters, lower-cased in A-Z."""
+    lists = TOPIC_WORDS if lists is None else lists
+    words = F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    # One pass over the words finds those of any list; what is left is short.
+    every = sorted({w for x in lists.values() for w in x})
+    held = F.array_intersect(words, F.array(*map(F.lit, every)))
+    # More words go first; of as many, the earlier list.
+    scores = lambda h: [F.struct(F.size(F.array_intersect(h, F.array(*map(F.lit, x)))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, x) in enumerate(lists.items())]
+    best = F.transform(F.array(held), lambda h: F.array_max(F.array(*scores(h))))[0]
+    return F.when(best["n"] > 0, best["name"])
 
 
 def token_count(text: Column) -> Column:
@@ -139,6 +158,9 @@ def _sql() -> str:
     goal_of = lambda name: "CASE " + name + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TARGETS[name].items()) + " ELSE 0.0 END"
     key = mixed((Sql("id") & M32) ^ mixed(((Sql("id") >> 32) & M32) ^ 0x2545F491))
     names = list(TARGETS)
+    n_of = {k: f"len(list_intersect(w, {x}))" for k, x in TOPIC_WORDS.items()}
+    most = f"greatest({', '.join(n_of.values())})"
+    topic_of = f"CASE WHEN {most} = 0 THEN '{OTHER}' " + " ".join(f"WHEN {n} = {most} THEN '{k}'" for k, n in n_of.items()) + " END"
     goals = ", ".join(
         f"(SELECT sum(n) FROM cell) * ({goal_of(name)}) / (SELECT sum({goal_of(name)}) FROM (SELECT DISTINCT {name} FROM cell WHERE n > 0)) AS goal_{name}" for name in names
     )
@@ -153,7 +175,8 @@ WITH d AS (
   SELECT doc_id, coalesce(doc_id, -1) AS id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS n_tokens,
          CASE WHEN source IN ({listed(TARGETS['source'])}) THEN source ELSE '{OTHER}' END AS source,
          CASE WHEN lang IN ({listed(TARGETS['lang'])}) THEN lang ELSE '{OTHER}' END AS lang,
-         cast(length(coalesce(text, '')) % 4 AS VARCHAR) AS topic FROM documents),
+         {topic_of} AS topic
+  FROM (SELECT *, list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents)),
 cell AS (SELECT source, lang, topic, cast(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL),
 goal AS (SELECT *, cast(1 AS DOUBLE) AS f, {goals} FROM cell),
 {", ".join(steps)},
