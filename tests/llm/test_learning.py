@@ -82,3 +82,78 @@ def test_term_counts():
     assert not quality.term_counts(b"").any()
     assert quality.term_counts(b"the the cat the the the")[-1] == 3
     assert (quality.term_counts(b"ab cd") == quality.term_counts(b"xyz qrs")).all()
+
+
+def test_the_model_of_tables_is_that_of_texts(spark, monkeypatch):
+    """Counting on executors chooses what counting here does, and long texts don't reach the driver."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    texts = [" ".join(word() for _ in range(80)) + (" zzqqxx vile" if k % 3 == 0 else "") for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)], "doc_id long, toxic int")
+    import zlib
+
+    known = [k for k in range(150) if zlib.crc32(str(k).encode()) % 5]
+    want = toxicity.fit([np.unique(toxicity.ngrams(texts[k].encode())) for k in known], np.array([int(k % 3 == 0) for k in known]))
+    got = toxicity.train(docs, labels)
+    assert (got["buckets"] == want["buckets"]).all() and np.allclose(got["weights"], want["weights"], atol=1e-5) and abs(got["bias"] - want["bias"]) < 1e-6
+    monkeypatch.setattr(toxicity, "FEATURES", 10)
+    few = toxicity.train(docs, labels)
+    assert len(few["buckets"]) == 10 and set(few["buckets"]) <= set(want["buckets"])
+
+
+def test_long_texts_cost_the_driver_no_more(spark):
+    """Texts of 10 MB and of 1 KB: what reaches the driver has the same size."""
+    import string
+
+    rng = np.random.default_rng(6)
+    letters = np.frombuffer(string.ascii_lowercase.encode() + b"    ", np.uint8)
+    texts = [rng.choice(letters, n).tobytes().decode() for n in (10_000_000, 1000, 10_000_000, 1000, 2000, 3000)]
+    docs = spark.createDataFrame([(k, t + " vile") for k, t in enumerate(texts)] + [(k, "plain words " + str(k)) for k in range(6, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 6)) for k in range(30)], "doc_id long, toxic int")
+    sizes = []
+    solve = toxicity.solve
+    toxicity.solve = lambda cols, *rest: sizes.append([len(c) for c in cols]) or solve(cols, *rest)
+    try:
+        model = toxicity.train(docs, labels)
+    finally:
+        toxicity.solve = solve
+    assert len(model["buckets"]) <= toxicity.FEATURES and max(sizes[0]) <= toxicity.FEATURES
+
+
+def test_ranges_of_features_change_nothing(monkeypatch):
+    rng = np.random.default_rng(7)
+    cols = [np.unique(rng.integers(0, 40, rng.integers(0, 20))) for _ in range(60)]
+    y, used, r = (rng.random(60) < 0.4).astype(np.int64), np.arange(40), rng.normal(size=40)
+    one, parts = toxicity.solve(cols, y, used, r), toxicity.parts
+    monkeypatch.setattr(toxicity, "parts", lambda c: parts(c, 15))
+    many = toxicity.solve(cols, y, used, r)
+    assert np.allclose(one["weights"], many["weights"], atol=1e-6) and abs(one["bias"] - many["bias"]) < 1e-9
+
+
+def test_scores_are_those_of_plain_python(spark, sf):
+    """The registered query against a model that is fitted and applied text by text in Python."""
+    import zlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    known: dict = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.toxic is not None and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.toxic)
+    grams = lambda t: {f" {t.lower()} "[i : i + n] for n in toxicity.ORDERS for i in range(len(t) + 3 - n)}
+
+    def bucket(g):
+        h = len(g)
+        for c in g:
+            h = (h * 1_000_003 + ord(c)) % 2**64
+        return (h * 0x9E3779B97F4A7C15 % 2**64) >> 44
+
+    features = {k: np.array(sorted({bucket(g) for g in grams(docs[k] or "")}), np.int64) for k in docs}
+    ids = sorted(known)
+    model = toxicity.fit([features[k] for k in ids], np.array([known[k] for k in ids]))
+    weight = dict(zip(model["buckets"].tolist(), model["weights"].tolist(), strict=True))
+    import __spark_entry__ as e
+
+    for r in e.queries()["op3_toxicity"](spark, sf).collect():
+        z = model["bias"] + sum(weight.get(b, 0.0) for b in features[r.doc_id].tolist())
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-4
