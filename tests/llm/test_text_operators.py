@@ -404,3 +404,21 @@ def test_hot_keys_and_clashing_columns(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == dict(enumerate(want))
     kept = S.one_of_each_group(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_large_benchmarks_are_scanned_for_once(spark, monkeypatch):
+    """One Python stage reads the texts, however large the benchmark is, by automaton or by hash."""
+    from weirflow.llm import decontaminate as D
+
+    docs, items, d, b = contaminated_frames(spark)
+    maps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert maps(find_items(d, b)) == 1 and maps(without_items(d, b)) == 1
+    read = []
+    by_hash = D.by_hash
+    monkeypatch.setattr(D, "by_hash", lambda *a: read.append(1) or by_hash(*a))
+    # Even a filter that passes everything loses and adds nothing.
+    monkeypatch.setattr(D, "BLOOM_BITS", 256)
+    assert found_rows(find_items(d, b, block_bytes=1)) == Counter(contamination(docs, items)) and read == [1]
+    odd = d.withColumns({"text_key_0": F.lit(1), "TEXT_KEY_1": F.lit("x")})
+    kept = without_items(odd, b, block_bytes=1)
+    assert kept.columns == odd.columns and kept.count() == sum(not hit for _, _, hit, _ in contamination(docs, items))

@@ -3,6 +3,10 @@
 The automaton holds every window of consecutive item words, as text between single spaces. A document is normalised the
 same way, byte for byte, and scanned once; a match's place gives the numbers of its words, and from those the offsets in
 the original text.
+
+A benchmark whose windows are over BLOCK_BYTES, too large for one automaton in a worker, is a table of windows by 128-bit
+hash instead. Texts are still scanned once: a Bloom filter of fixed size passes on the places whose windows may be in the
+table, and a join by hash keeps those that are.
 """
 
 from __future__ import annotations
@@ -10,16 +14,22 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, arrow_map, bounded_batches, utf8, words
+from .common import WORD_BYTES, arrow_map, bounded_batches, utf8, words, written
 
 WINDOW = 10
-#: Bytes of normalised items that one automaton, and one broadcast, hold at most; more items are scanned for block by block.
+#: Bytes of windows that the automaton, and its broadcast, hold at most; those of larger benchmarks are joined by hash.
 BLOCK_BYTES = 32 << 20
+#: Bits of the Bloom filter for larger benchmarks, in so many slices, and bits set for a window. It is 16 MB, whatever is in it.
+BLOOM_BITS, BLOOM_SLICES, BLOOM_HASHES = 1 << 27, 32, 3
+#: Ids of texts up to which contaminated ones are broadcast, 16 bytes each; the rows of more are found by a shuffle.
+MOST_BROADCAST = 500_000
 
 SCANNED = "n_words long, hits array<struct<first: long, last: long>>, item_ids array<string>"
 
@@ -89,23 +99,17 @@ def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[a][0] - bisect_right(extra, places[a][0] - 1), places[b][1] - bisect_right(extra, places[b][1] - 1)) for a, b in runs]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, item_id: str = "item_id", text: str = "text") -> Iterator[list[tuple[str | None, bytes | None]]]:
-    """The items in lists of about `block_bytes` at most, read to the driver one row at a time."""
-    block, size = [], 0
-    for item, data in benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("binary")).distinct().toLocalIterator():
-        data = bytes(data) if data is not None else b""
-        # A window of ten words takes about ten times the room of its text.
-        if block and size + 10 * len(data) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((item, data))
-        size += 10 * len(data)
-    yield block
+def few(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, item_id: str = "item_id", text: str = "text") -> list[tuple[str | None, bytes]] | None:
+    """The distinct items, if their windows are at most `block_bytes`; else None. A window of ten words takes about ten times
+    the room of its text."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("binary").alias("data")).distinct()
+    size = items.agg(F.sum(10 * F.coalesce(F.octet_length("data"), F.lit(0)) + 64)).first()[0] or 0
+    return [(item, bytes(data or b"")) for item, data in items.collect()] if size <= block_bytes else None
 
 
-def prepared(block, df: DataFrame, n: int):
-    """The block's items for the executors; the first task in a worker builds the automaton, and the worker keeps it."""
-    held = df.sparkSession.sparkContext.broadcast({"items": block})
+def prepared(items: list[tuple[str | None, bytes]], df: DataFrame, n: int):
+    """The items for the executors; the first task in a worker builds the automaton, and the worker keeps it."""
+    held = df.sparkSession.sparkContext.broadcast({"items": items})
 
     def get():
         kept = held.value
@@ -116,6 +120,105 @@ def prepared(block, df: DataFrame, n: int):
     return get
 
 
+def hashed(window: bytes) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(window)
+
+
+def window_table(benchmark: DataFrame, n: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(h, n, item): the hash and word count of each window and an item that has it; distinct, written."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("h", pa.binary()), ("n", pa.int32()), ("item", pa.string())])
+        for batch in batches:
+            for item, data in zip(batch["item"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                found = set(windows(data, n))
+                yield pa.RecordBatch.from_pydict({"h": [hashed(w) for w in found], "n": [w.count(b" ") + 1 for w in found], "item": [item] * len(found)}, schema=schema)
+
+    bounded_batches(benchmark.sparkSession)
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("binary").alias("data"))
+    return written(items.mapInArrow(rows, "h binary, n int, item string").distinct(), "benchmark-windows")
+
+
+def bloom_places(h: bytes) -> list[int]:
+    """The bits of a hash."""
+    a, b = int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little") | 1
+    return [(a + k * b) % BLOOM_BITS for k in range(BLOOM_HASHES)]
+
+
+def bloom(table: DataFrame) -> list[bytes]:
+    """The filter's slices, made by a task each; the driver gets BLOOM_BITS / 8 bytes, however many windows there are."""
+    width = BLOOM_BITS // BLOOM_SLICES
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([x for h in batch["h"] for x in bloom_places(h.as_py())], np.int64)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(at // width, pa.int32()), "at": pa.array(at % width, pa.int32())})
+
+    def fill(table: pa.Table) -> pa.Table:
+        flags = np.zeros(width, bool)
+        flags[table["at"].to_numpy()] = True
+        return pa.table({"slice": table["slice"][:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    # Distinct places first, so that a slice's task gets no more than its bits.
+    at = table.select("h").distinct().mapInArrow(rows, "slice int, at int").distinct()
+    made = {r[0]: bytes(r[1]) for r in at.groupBy("slice").applyInArrow(fill, "slice int, bits binary").collect()}
+    return [made.get(k, bytes(width // 8)) for k in range(BLOOM_SLICES)]
+
+
+def candidates(data: bytes | None, sizes: list[int], bits: bytes) -> tuple[int, list[dict]]:
+    """The count of words, and each window that the filter passes: its first word, its word count and its hash."""
+    w, out = words(data or b""), []
+    norm = b" ".join(w)
+    starts = list(accumulate((len(x) + 1 for x in w), initial=0))
+    for n in sizes:
+        for i in range(len(w) - n + 1):
+            h = hashed(norm[starts[i] : starts[i + n] - 1])
+            if all(bits[x >> 3] >> (x & 7) & 1 for x in bloom_places(h)):
+                out.append({"first": i, "n": n, "h": h})
+    return len(w), out
+
+
+def joined_hits(scanned: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """(keys, hits, item_ids) of the rows of `scanned` that hold a window of the table; each row of `keys` is one text."""
+    # One row a window, with all its items, so that a frequent window meets one row of the table.
+    items = table.groupBy("h", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    places = scanned.select(*keys, F.explode("found").alias("c")).select(*keys, F.col("c.first").alias("first"), F.col("c.n").alias("n"), F.col("c.h").alias("h"))
+    hit = places.join(items, ["h", "n"])
+    return hit.groupBy(*keys).agg(F.collect_set(F.struct("first", (F.col("first") + F.col("n") - 1).alias("last"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+
+
+FOUND = "n_words long, found array<struct<first: long, n: int, h: binary>>"
+
+
+def by_hash(docs: DataFrame, benchmark: DataFrame, n: int, id: str, text: str) -> DataFrame:
+    """(id, text, n_words, hits, item_ids) by the table of windows."""
+    table = window_table(benchmark, n)
+    sizes = sorted(r[0] for r in table.select("n").distinct().collect())  # 1 to n
+    held = docs.sparkSession.sparkContext.broadcast(b"".join(bloom(table)))
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        made = [candidates(x, sizes, held.value) for x in batch["text"].cast(pa.binary()).to_pylist()]
+        return {"id": batch["id"], "text": batch["text"], "n_words": [c for c, _ in made], "found": [f for _, f in made]}
+
+    read = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    scanned = arrow_map(read, rows, f"id {read.schema['id'].dataType.simpleString()}, text string, {FOUND}")
+    # Written, so that a row keeps its number.
+    scanned = written(scanned.withColumn("scan_row", F.monotonically_increasing_id()), "scanned")
+    hits = joined_hits(scanned, table, "scan_row")
+    kind = "array<struct<first: long, last: long>>"
+
+    def merged(batch: pa.RecordBatch) -> dict:
+        runs = [[{"first": a, "last": b} for a, b in joined([(r["first"], r["last"]) for r in x])] for x in batch["runs"].to_pylist()]
+        return {"hit_row": batch["scan_row"], "hits": runs, "item_ids": batch["item_ids"]}
+
+    hits = arrow_map(hits, merged, f"hit_row long, hits {kind}, item_ids array<string>")
+    out = scanned.join(hits, F.col("scan_row") == F.col("hit_row"), "left")
+    none = lambda c, t: F.coalesce(c, F.expr(f"cast(array() as {t})")).alias(c)
+    return out.select("id", "text", "n_words", none("hits", kind), none("item_ids", "array<string>"))
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, id: str = "doc_id", text: str = "text", with_spans: bool = False) -> DataFrame:
     """Per row of `docs`: id, n_words, hits (runs of hit word numbers), item_ids; with_spans: and their character spans.
 
@@ -123,24 +226,25 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, block_
     has no words and no hits; a null id stays null; repeated rows each give a row. An item without words is never found;
     an item whose id is null hits words but is not listed. An empty benchmark finds nothing.
     """
-    out = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first: long, last: long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("item_ids"))
-    kind = out.schema["id"].dataType.simpleString()
-    for block in blocks(benchmark, block_bytes):
-        get = prepared(block, docs, n)
-
-        def rows(batch: pa.RecordBatch, get=get) -> dict:
-            a, made = get(), {"id": batch["id"], "text": batch["text"], "n_words": [], "hits": [], "item_ids": []}
-            old_hits, old_ids = batch["hits"].to_pylist(), batch["item_ids"].to_pylist()
-            for data, hits, ids in zip(batch["text"].cast(pa.binary()).to_pylist(), old_hits, old_ids, strict=True):
+    read = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    kind, items = read.schema["id"].dataType.simpleString(), few(benchmark, block_bytes)
+    if items is None:
+        out = by_hash(docs, benchmark, n, id, text)
+    else:
+        get = prepared(items, docs, n)
+
+        def rows(batch: pa.RecordBatch) -> dict:
+            a, made = get(), {"id": batch["id"], "n_words": [], "hits": [], "item_ids": []}
+            if with_spans:
+                made["text"] = batch["text"]
+            for data in batch["text"].cast(pa.binary()).to_pylist():
                 count, runs, found = scan(data or b"", a)
-                if hits:
-                    runs = joined([*((h["first"], h["last"]) for h in hits), *runs])
                 made["n_words"].append(count)
                 made["hits"].append([{"first": x, "last": y} for x, y in runs])
-                made["item_ids"].append(sorted({*ids, *found}))
+                made["item_ids"].append(found)
             return made
 
-        out = arrow_map(out, rows, f"id {kind}, text string, {SCANNED}")
+        out = arrow_map(read, rows, f"id {kind}, {SCANNED}" + (", text string" if with_spans else ""))
     if with_spans:
 
         def located(batch: pa.RecordBatch) -> dict:
@@ -149,7 +253,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, block_
             return {"id": batch["id"], "n_words": batch["n_words"], "hits": batch["hits"], "item_ids": batch["item_ids"], "spans": made}
 
         return arrow_map(out, located, f"id {kind}, {SCANNED}, spans array<struct<start: long, end: long>>").withColumnRenamed("id", id)
-    return out.drop("text").withColumnRenamed("id", id)
+    return out.select(F.col("id").alias(id), "n_words", "hits", "item_ids")
 
 
 def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -164,19 +268,31 @@ def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns kept, whose text holds no window of any item. A null or empty text stays."""
+    """The rows of `docs`, all columns kept, whose text holds no window of any item. A null or empty text stays, repeated rows
+    stay or go together, and columns may have any names."""
     bounded_batches(docs.sparkSession)
-    for block in blocks(benchmark, block_bytes):
-        get = prepared(block, docs, n)
-
-        def clean(batches: Iterator[pa.RecordBatch], get=get) -> Iterator[pa.RecordBatch]:
-            a = get()
-            for batch in batches:
-                keep = [not scan(x or b"", a)[1] for x in batch[text].cast(pa.binary()).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    items = few(benchmark, block_bytes)
+    if items is None:
+        return without_hashed(docs, benchmark, n, text)
+    get = prepared(items, docs, n)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = get()
+        for batch in batches:
+            keep = [not scan(x or b"", a)[1] for x in batch[text].cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def without_hashed(docs: DataFrame, benchmark: DataFrame, n: int, text: str) -> DataFrame:
+    """The same by the table of windows: which texts go is told by 128-bit digests of the texts."""
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    key = next(x for k in range(len(docs.columns) + 1) if (x := f"text_key_{k}") not in {c.lower() for c in docs.columns})
+    hits = by_hash(docs.select(digest.alias("text_id"), F.col(text).alias("text")), benchmark, n, "text_id", "text")
+    gone = written(hits.where(F.size("hits") > 0).select(F.col("id").alias(key)).distinct(), "contaminated-texts")
+    few_texts = gone.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few_texts else gone, digest == F.col(key), "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
