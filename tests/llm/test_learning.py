@@ -157,3 +157,44 @@ def test_scores_are_those_of_plain_python(spark, sf):
     for r in e.queries()["op3_toxicity"](spark, sf).collect():
         z = model["bias"] + sum(weight.get(b, 0.0) for b in features[r.doc_id].tolist())
         assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-4
+
+
+def test_words_alone_tell_quality(spark):
+    """Good and bad texts of the same typography, which differ in some of their words."""
+    rng = np.random.default_rng(8)
+    common = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    bad, good = [["".join(rng.choice(list(x), 5)) for _ in range(40)] for x in ("mnopq", "rstuv")]
+    texts = [" ".join(rng.choice(common if rng.random() < 0.6 else good if k % 2 else bad) for _ in range(60)) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    got = [r for r in quality.classify(docs, labels).collect() if r.held_out]
+    assert len(got) > 80 and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+
+
+def test_other_characters_are_classes_of_their_own():
+    others = [c for c in range(128) if not chr(c).isalnum() and chr(c) not in " \t\r\n\v\f"]
+    assert len(set(quality.CLASSES[others].tolist())) == len(others) and not set(quality.CLASSES[others].tolist()) & {0, 1, 2, 3}
+
+
+def test_quality_scores_are_those_of_plain_python(spark, sf):
+    """The registered query against the labelled texts' vectors, with each text's cosines taken one by one."""
+    import zlib
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    known: dict = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.quality is not None and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.quality)
+    ids = sorted(known)
+    model = quality.fit(np.stack([quality.counted(docs[k]) for k in ids]), np.array([known[k] for k in ids]))
+    import __spark_entry__ as e
+
+    for r in e.queries()["op4_quality"](spark, sf).collect():
+        v = quality.unit(quality.weighted(quality.counted(docs[r.doc_id])[None], model["idf"]) @ model["projection"])[0]
+        if not v.any():
+            continue
+        cosine = model["vectors"] @ v
+        least = np.sort(cosine)[-quality.NEIGHBOURS]
+        near = cosine >= least - 1e-5
+        want = np.maximum(cosine[near], 0) @ model["labels"][near] / np.maximum(cosine[near], 0).sum()
+        assert abs(r.score - want) < 2e-2

@@ -1,12 +1,15 @@
 """Quality by nearest neighbours: labelled latent-semantic vectors vote, weighted by similarity.
 
-Terms are n-grams of a text's runs of character classes, and words that repeat the one before. Their weighted counts are
-projected on the leading singular vectors of the labelled texts; each text's exact cosines with all labelled vectors are
-block products of matrices.
+Terms are of two kinds, which weigh the same: words, and the text's typography, as n-grams of its runs of character
+classes and words that repeat the one before. Their weighted counts are projected on the leading singular vectors of the
+labelled texts; each text's exact cosines with all labelled vectors are block products of matrices.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +18,16 @@ from .common import arrow_map, texts
 from .learning import labelled_sample, remainder, scored
 
 FOLDS, HELD_OUT = 3, 1
-TERMS, RANK, NEIGHBOURS = 1024, 48, 15
-#: Labelled texts at most, by label; with RANK they bound what is broadcast: 4000 * 48 * 4 bytes, and the projection.
+#: Buckets of typographic terms, and of words.
+TERMS, WORDS = 1024, 1024
+RANK, NEIGHBOURS = 48, 15
+#: Labelled texts at most, by label; with RANK they bound what is broadcast: 4000 * 48 * 4 bytes, and the projection; the driver gets 8 KB
+#: of counts a text.
 SAMPLE = {0: 1000, 1: 3000}
 BLOCK = 256
 
 #: Spaces 0, letters a-z and all beyond ASCII 1, A-Z 2, digits 3; each other character is a class of its own.
-CLASSES = np.array([0 if c in b" \t\r\n\v\f" else 1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 + c % 60 for c in range(256)], np.uint64)
+CLASSES = np.array([0 if c in b" \t\r\n\v\f" else 1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 + c for c in range(256)], np.uint64)
 
 
 def term_counts(data: bytes) -> np.ndarray:
@@ -36,13 +42,25 @@ def term_counts(data: bytes) -> np.ndarray:
             continue
         h = np.full(len(runs) - n + 1, n, np.uint64)
         for i in range(n):
-            h = h * np.uint64(67) + runs[i : len(runs) - n + 1 + i]
+            h = h * np.uint64(137) + runs[i : len(runs) - n + 1 + i]
         out += np.bincount(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % (TERMS - 1), minlength=TERMS)
     w = data.split()
     out[TERMS - 1] = sum(map(bytes.__eq__, w, w[1:]))
     return out
 
 
+def word_counts(data: bytes) -> np.ndarray:
+    """Counts of the lower-cased words between white space, in WORDS buckets."""
+    out = np.zeros(WORDS, np.float32)
+    for word, n in Counter(data.lower().split()).items():
+        out[zlib.crc32(word) % WORDS] += n
+    return out
+
+
+def counted(data: bytes) -> np.ndarray:
+    return np.concatenate((term_counts(data), word_counts(data)))
+
+
 def fit(counts: np.ndarray, labels: np.ndarray) -> dict:
     """{idf, projection, vectors, labels, prior} of labelled counts."""
     n = len(labels)
@@ -55,8 +73,9 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> dict:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    return unit(np.sqrt(counts / total) * idf)
+    """Each kind of terms as a unit vector, side by side, and all of a text at length 1."""
+    kinds = [(counts[:, a:b], idf[a:b]) for a, b in ((0, TERMS), (TERMS, TERMS + WORDS))]
+    return unit(np.hstack([unit(np.sqrt(c / np.maximum(c.sum(axis=1, keepdims=True), 1)) * i) for c, i in kinds]))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -85,17 +104,17 @@ def vote(vectors: np.ndarray, model: dict, k: int = NEIGHBOURS) -> np.ndarray:
 def score_texts(batch: list[bytes], model: dict) -> list[float]:
     out: list[float] = []
     for at in range(0, len(batch), BLOCK):
-        counts = np.stack([term_counts(x) for x in batch[at : at + BLOCK]])
+        counts = np.stack([counted(x) for x in batch[at : at + BLOCK]])
         out += vote(unit(weighted(counts, model["idf"]) @ model["projection"]), model).tolist()
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: dict[int, int] | None = None, id: str = "doc_id", text: str = "text") -> dict:
     """The labelled vectors, of a bounded sample of rows outside the held-out fold. Terms are counted on the executors."""
-    rows = lambda b: {"label": b["label"], "counts": [term_counts(x).tolist() for x in texts(b["text"])]}
+    rows = lambda b: {"label": b["label"], "counts": [counted(x).tolist() for x in texts(b["text"])]}
     taken = labelled_sample(docs, labels, label, sample or SAMPLE, remainder(F.col("sample_id"), FOLDS) != HELD_OUT, id=id, text=text)
     got = arrow_map(taken.select("text", "label").repartition(12), rows, "label int, counts array<float>").toArrow()
-    counts = np.asarray(got["counts"].combine_chunks().flatten()).reshape(-1, TERMS)
+    counts = np.asarray(got["counts"].combine_chunks().flatten()).reshape(-1, TERMS + WORDS)
     return fit(counts, got["label"].to_numpy().astype(np.int64))
 
 
