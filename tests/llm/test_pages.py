@@ -208,3 +208,78 @@ def test_articles_of_the_smallest_pages(spark, sf):
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " " if "br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))]
         want = "\n\n".join(re.sub(r"\s+", " ", unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"</?(?:p|h1)>", article.replace("<br>", " ")) if x.strip())
         assert blocks and got[row["page_id"]] == want
+
+
+IMAGE = bytes(range(256)) * 3
+
+
+def legacy_arc(eol: bytes = b"\n") -> bytes:
+    """Records that old crawlers left: other statuses and types, line feeds in heads, blanks in URLs, odd headers."""
+    body = eol.join([b"1 0 old", A.V1_FIELDS.encode(), b""])
+    out = b"filedesc://old.arc 0.0.0.0 19980101 text/plain %d\n" % len(body) + body + b"\n"
+    records = [
+        (b"http://a/missing", b"19980102030405", b"text/html", b"HTTP/1.0 404 Not Found\r\nServer: x\r\nContent-Type: text/html\r\n\r\n<p>gone</p>"),
+        (b"http://a/i.gif", b"19980102030406", b"image/gif", b"HTTP/1.1 200 OK\r\nContent-Type: image/gif\r\n\r\n" + IMAGE),
+        (b"dns:a", b"19980102030407", b"text/dns", b"19980102 a. 60 IN A 1.2.3.4\n"),
+        (b"http://a/lf", b"19980102", b"text/plain", b"HTTP/1.0 200 OK\nContent-Type: text/plain\n\nline\n\nfeeds"),
+        (b"http://a/with a blank", b"19980102030409", b"text/html", b"HTTP/1.0\r\n\r\nno status"),
+        (b"http://a/head", b"19980102030410", b"text/html", b"HTTP/1.0 304 Not Modified\r\nServer: x"),
+        (b"http://a/missing", b"19990102030405", b"text/html", b"HTTP/1.0 404 Not Found\r\nServer: x\r\nContent-Type: text/html\r\n\r\n<p>gone</p>"),
+    ]
+    for url, date, mime, doc in records:
+        out += url + b" 1.2.3.4 " + date + b" " + mime + b" %d\n" % len(doc) + doc + b"\n"
+    return out
+
+
+@pytest.mark.parametrize("eol", [b"\n", b"\r\n"])
+def test_what_was_archived_is_kept(spark, tmp_path, eol):
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc.gz").write_bytes(gzip.compress(legacy_arc(eol)))
+    assert A.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc") == 0
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "warc").glob("part-*")))
+    got = {h.get("warc-target-uri"): (h, block) for h, block in A.warc_records(data)}
+    missing, image, dns = (got[x] for x in ("http://a/missing", "http://a/i.gif", "dns:a"))
+    assert missing[1] == b"HTTP/1.0 404 Not Found\r\nServer: x\r\nContent-Type: text/html\r\n\r\n<p>gone</p>"
+    assert image[1].endswith(IMAGE) and b"image/gif" in image[1] and image[0]["warc-type"] == "response"
+    assert dns[0]["warc-type"] == "resource" and dns[0]["content-type"] == "text/dns" and dns[1] == b"19980102 a. 60 IN A 1.2.3.4\n"
+    rows = A.read_warc(spark, f"file://{tmp_path}/warc").collect()
+    assert len(rows) == 7 and all(r.verified for r in rows) and len({r.record_id for r in rows}) == 7
+    by = {r.url: r for r in rows}
+    digest = lambda x: hashlib.sha1(x).hexdigest()
+    assert by["http://a/lf"].payload_digest == digest(b"line\n\nfeeds") and by["http://a/lf"].date == "1998-01-02T00:00:00Z"
+    assert by["http://a/with a blank"].payload_digest == digest(b"no status") and by["http://a/with a blank"].status is None
+    assert by["http://a/head"].payload_bytes == 0 and by["http://a/head"].status == 304
+    assert (by["http://a/i.gif"].mime, by["http://a/missing"].status, by["dns:a"].record_type) == ("image/gif", 404, "resource")
+
+
+def test_problems_are_counted_and_passed_over(spark, tmp_path):
+    good = legacy_arc()
+    cut = good.index(b"dns:a")
+    lost = good[:cut] + b"some bytes that are no header\nand more of them 1 2\n" + good[cut:]
+    late = good[: good.index(b"http://a/lf")] + b"http://a/long 1.2.3.4 1998 text/html 999999\nshort"
+    (tmp_path / "arc").mkdir()
+    for name, data in (("lost", lost), ("late", late), ("none", b"no archive at all\n"), ("empty", b""), ("torn", gzip.compress(good)[:-400])):
+        (tmp_path / "arc" / f"{name}.arc").write_bytes(data)
+    problems = {r.file: r.problem for r in A.malformed(spark, f"file://{tmp_path}/arc").collect()}
+    assert problems.keys() >= {"lost.arc", "late.arc", "none.arc"} and "empty.arc" not in problems and "declares 999999" in problems["late.arc"]
+    assert A.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc") == len(problems)
+    files = [r.file for r in A.read_arc(spark, f"file://{tmp_path}/arc").collect()]
+    assert files.count("lost.arc") == 7 and files.count("late.arc") == 3
+    assert all(r.verified for r in A.read_warc(spark, f"file://{tmp_path}/warc").collect())
+
+
+def test_files_hold_no_more_than_their_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "FILE_BYTES", 10_000)
+    df = spark.range(12).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.repeat(F.lit("x"), F.when(F.col("id") == 5, 50_000).otherwise(3000)).alias("html")).coalesce(1)
+    A.write_arc(df, f"file://{tmp_path}/arc")
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in sorted((tmp_path / "arc").glob("part-*"))]
+    assert len(sizes) > 3 and sorted(sizes)[-2] < 15_000 and max(sizes) < 65_000
+    assert A.read_arc(spark, f"file://{tmp_path}/arc").count() == 12
+
+
+def test_hot_payloads_are_revisits_by_any_plan(spark, monkeypatch):
+    monkeypatch.setattr(A, "HOT_ROWS", 5)
+    text = lambda k: "y" * 2000 if k % 3 == 0 else "" if k % 3 == 1 else f"{k // 6}" * 1500
+    df = spark.createDataFrame([(k, f"http://a/{k}", text(k)) for k in range(60)], PAGES)
+    one, other = ({r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in A.archived(df, most_broadcast=m).collect()} for m in (1000, 0))
+    assert one == other and len(one) == 60 and one[0] == ("revisit", 57, 2000) and one[1] == ("response", None, 0) and one[2] == ("revisit", 5, 1500)

@@ -1,9 +1,12 @@
 """Legacy web archives: ARC files, versions 1 and 2, are written, parsed by their header lines and declared lengths, and
 converted to WARC records with identifiers, timestamps, types and digests.
 
-Files are written and read by Spark, so they may lie in any store. A file holds at most FILE_RECORDS records, and one is
-read as a whole, compressed, by one task; its records are then taken from the stream one by one. A file's bytes are
-those of one partition of the input at most. Payloads are bytes, of any encoding.
+A record keeps what was archived: an HTTP response its status line and headers, byte for byte, whatever its status and type;
+any other document becomes a resource of its declared type. Header lines that can't be parsed are counted and passed over.
+
+Files are written and read by Spark, so they may lie in any store. A file that is written holds FILE_RECORDS records and
+FILE_BYTES bytes at most, or one longer record; one that is read is taken by one task, unpacked piece by piece.
+Payloads are bytes, of any encoding.
 """
 
 from __future__ import annotations
@@ -19,28 +22,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, bounded_batches, shared_path, utf8, written
+from ..plans.durable import remove
+from .common import arrow_schema, bounded_batches, discard, shared_path, utf8, written
 
-FILE_RECORDS = 2000
+#: Of a file that is written; its version block or warcinfo is a record.
+FILE_RECORDS, FILE_BYTES = 2000, 16 << 20
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
 #: Groups of equal payloads up to which their digests (20 bytes) and ids (8) are broadcast: 6 MB. More are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Records of equal payloads from which their group is broadcast in any case: at most a HOT_ROWS-th as many as records.
+HOT_ROWS = 10_000
 OUT_BYTES = 8 << 20
 
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
-ARC_ROWS = "page_id long, url string, ip string, date string, mime string, status int, arc_version int, payload binary, payload_bytes long, digest binary"
-WARC_ROWS = "page_id long, url string, record_id string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean"
+ARC_ROWS = "page_id long, url string, ip string, date string, mime string, status int, arc_version int, head binary, payload binary, payload_bytes long, digest binary, file string, offset long, record_id string, problem string"
+WARC_ROWS = "page_id long, url string, record_id string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, status int, mime string"
+#: A year to a second, all digits.
+ARC_DATE = re.compile(r"\d{4}(?:\d\d){0,5}")
+HEAD_END = re.compile(rb"\r?\n\r?\n")
 
 
 class Stream:
     """Lines and counted bytes from a file that may be gzip, in one or many members."""
 
     def __init__(self, data: bytes, step: int = 1 << 20):
-        self.parts, self.buffer = self._plain(data, step), bytearray()
+        self.parts, self.buffer, self.offset = self._plain(data, step), bytearray(), 0
 
     @staticmethod
     def _plain(data: bytes, step: int) -> Iterator[bytes]:
@@ -73,6 +83,7 @@ class Stream:
                 end = len(self.buffer)
                 break
         out = bytes(self.buffer[:end]).rstrip(b"\r")
+        self.offset += min(end + 1, len(self.buffer))
         del self.buffer[: end + 1]
         return out
 
@@ -82,6 +93,7 @@ class Stream:
         if len(self.buffer) < n:
             raise ValueError(f"a record declares {n} bytes; the file has {len(self.buffer)}")
         out = bytes(self.buffer[:n])
+        self.offset += n
         del self.buffer[:n]
         return out
 
@@ -108,37 +120,77 @@ def arc_record(version: int, name: str, offset: int, page_id: int | None, url: s
     return f"{field(url)} 192.0.2.1 20000101000000 text/html{more} {len(doc)}\n".encode() + doc
 
 
-def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(version, header fields, document) of each record after the version block."""
-    stream, version, names = Stream(data), 0, []
-    while (line := stream.line()) is not None:
+def version_block(stream: Stream, line: bytes) -> tuple[int, list[str]]:
+    """The version of an ARC file and the fields of its header lines, whatever ends the block's lines."""
+    parts = line.decode("utf-8", "replace").split(" ")
+    if not parts[0].startswith("filedesc://") or not parts[-1].isdecimal():
+        raise ValueError("an ARC file begins with a version block")
+    block = [x.strip("\r") for x in stream.take(int(parts[-1])).decode("utf-8", "replace").split("\n")]
+    version, names = block[0].split(" ")[0], block[1].split() if len(block) > 1 else []
+    if not version.isdecimal() or not {"URL", "IP-address", "Archive-date", "Content-type", "Archive-length"} <= set(names):
+        raise ValueError("a version block names the fields of header lines")
+    return int(version), names
+
+
+def header(line: bytes, names: list[str]) -> dict[str, str] | None:
+    """The fields of a header line, of which the URL may hold blanks; None if it is none."""
+    parts = line.decode("utf-8", "replace").rsplit(" ", len(names) - 1)
+    head = dict(zip(names, parts, strict=False))
+    sound = len(parts) == len(names) and head["Archive-length"].isdecimal() and ARC_DATE.fullmatch(head["Archive-date"])
+    return head if sound else None
+
+
+def arc_entries(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, str | None]]:
+    """(offset, version, header fields, document, problem) of each record after the version block. A problem has no document:
+    a line where a header should be, after which the lines up to the next header are passed over, or a length beyond the
+    file's end."""
+    stream, version, names, lost = Stream(data), 0, [], False
+    while True:
+        offset = stream.offset
+        try:
+            line = stream.line()
+        except zlib.error as e:
+            yield offset, version, {}, b"", f"damaged gzip data: {e}"
+            return
+        if line is None:
+            return
         if not line:
             continue
-        parts = line.decode("utf-8", "replace").split(" ")
-        if not version:
-            if not parts[0].startswith("filedesc://"):
-                raise ValueError("an ARC file begins with a version block")
-            block = stream.take(int(parts[-1])).decode().split("\n")
-            version, names = int(block[0].split(" ")[0]), block[1].split(" ")
-            continue
-        if len(parts) != len(names):
-            raise ValueError(f"a header line of version {version} has {len(names)} fields, not {len(parts)}")
-        head = dict(zip(names, parts, strict=True))
-        yield version, head, stream.take(int(head["Archive-length"]))
+        try:
+            if not version:
+                version, names = version_block(stream, line)
+                continue
+            head = header(line, names)
+            if head is None:
+                if not lost:
+                    yield offset, version, {}, b"", f"no header line of {len(names)} fields"
+                lost = True
+                continue
+            doc, lost = stream.take(int(head["Archive-length"])), False
+        except (ValueError, zlib.error) as e:
+            yield offset, version, {}, b"", str(e)
+            return
+        yield offset, version, head, doc, None
 
 
-def http_parts(doc: bytes) -> tuple[int | None, dict[str, str], bytes]:
-    """Status, headers and body of an HTTP response; what is none is all body."""
-    if not doc.startswith(b"HTTP/"):
-        return None, {}, doc
-    head, _, body = doc.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    return int(lines[0].split(" ")[1]), {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, body
+def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(version, header fields, document) of each record; ValueError at the first problem."""
+    for _, version, head, doc, problem in arc_entries(data):
+        if problem:
+            raise ValueError(problem)
+        yield version, head, doc
 
 
-def page_record_id(page_id: int | None, url: str | None, digest: bytes) -> str:
-    """Of a page's record; a page without an id goes by its URL."""
-    return record_id(page_id, digest.hex()) if page_id is not None else record_id("url", url, digest.hex())
+def http_parts(doc: bytes) -> tuple[int | None, dict[str, str], bytes, bytes]:
+    """Status, headers, head with the empty line that ends it, and body of an HTTP response, whose lines end with CR LF or
+    LF; one without an empty line is all head. What is none is all body. A status that is no number is None."""
+    if not doc.startswith(b"HTTP/"):
+        return None, {}, b"", doc
+    end = HEAD_END.search(doc)
+    head, body = (doc[: end.end()], doc[end.end() :]) if end else (doc, b"")
+    first, *rest = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    status = first.split()[1:2]
+    return int(status[0]) if status and status[0].isdecimal() and len(status[0]) < 10 else None, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}, head, body
 
 
 def record_id(*parts) -> str:
@@ -150,27 +202,34 @@ def record_id(*parts) -> str:
 
 
 def warc_date(arc_date: str) -> str:
-    d = arc_date.ljust(14, "0")
+    """What the date leaves out is the first month, day or second."""
+    d = arc_date + "00000101000000"[len(arc_date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def mime_type(text: str | None) -> str:
+    """A declared type; what is none is octets."""
+    return text if text and re.fullmatch(r"[\w.+-]+/[\w.+-]+(?:\s*;.*)?", text) else "application/octet-stream"
+
+
 def warc_record(row: dict) -> bytes:
-    """The WARC record, without the two line ends that close it, of a row of ARC_ROWS with refers_to."""
-    payload, digest = utf8(row["payload"]), row["digest"]
-    head = http_head(row["page_id"], len(payload))
-    block = head if row["refers_to"] is not None else head + payload
+    """The WARC record, without the two line ends that close it, of a row of ARC_ROWS with refers_to and refers_to_record."""
+    payload, head, digest, again = utf8(row["payload"]), utf8(row["head"]), row["digest"], row["refers_to"] is not None
+    block = head if again else head + payload
     b32 = lambda x: base64.b32encode(x).decode()
     lines = [
         "WARC/1.0",
-        f"WARC-Type: {'response' if row['refers_to'] is None else 'revisit'}",
+        f"WARC-Type: {'revisit' if again else 'response' if head else 'resource'}",
         *([f"WARC-Target-URI: {row['url']}"] if row["url"] is not None else []),
         f"WARC-Date: {warc_date(row['date'])}",
-        f"WARC-Record-ID: {page_record_id(row['page_id'], row['url'], digest)}",
-        f"WARC-IP-Address: {row['ip']}",
+        f"WARC-Record-ID: {row['record_id']}",
+        *([f"WARC-IP-Address: {row['ip']}"] if row["ip"] not in (None, "-", "0.0.0.0") else []),
         f"WARC-Payload-Digest: sha1:{b32(digest)}",
         f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).digest())}",
-        *([f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {page_record_id(row['refers_to'], None, digest)}", f"WARC-Refers-To-Page: {row['refers_to']}"] if row["refers_to"] is not None else []),
-        "Content-Type: application/http; msgtype=response",
+        f"X-Payload-Length: {len(payload)}",
+        *([f"X-Page-Id: {row['page_id']}"] if row["page_id"] is not None else []),
+        *([f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {row['refers_to_record']}", f"X-Refers-To-Page: {row['refers_to']}"] if again else []),
+        f"Content-Type: {'application/http; msgtype=response' if head else mime_type(row['mime'])}",
         f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
@@ -196,34 +255,26 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, stream.take(int(head["content-length"]))
 
 
-def files(kind: str, blocks: Iterator[tuple], first, record) -> Iterator[bytes]:
-    """A stream of records with first(version, name) before the first of each FILE_RECORDS - 1, so that each file that
-    the writer begins after FILE_RECORDS rows begins with it; record(version, name, offset, row) is the rest."""
+def files(kind: str, rows: Iterable, first, record, end: bytes) -> Iterator[pa.RecordBatch]:
+    """A row for each file: first(version, name) and then record(version, name, offset, row) of up to FILE_RECORDS - 1 rows,
+    FILE_BYTES in all at most unless one row has more; `end` between them."""
     from pyspark import TaskContext
 
-    part, offset = TaskContext.get().partitionId(), 0
-    version, name = 1, ""
-    for n, row in enumerate(blocks):
-        if n % (FILE_RECORDS - 1) == 0:
-            k = n // (FILE_RECORDS - 1)
+    part, k, n, held = TaskContext.get().partitionId(), 0, 0, bytearray()
+    version = name = None
+    whole = lambda: pa.RecordBatch.from_arrays([pa.array([bytes(held)], pa.binary())], ["value"])
+    for row in rows:
+        if n and (n >= FILE_RECORDS - 1 or len(held) >= FILE_BYTES):
+            yield whole()
+            k, n, held = k + 1, 0, bytearray()
+        if not n:
             version, name = 1 + (part + k) % 2, f"part-{part:05d}-{k:05d}.{kind}"
-            yield (made := first(version, name))
-            offset = len(made) + 1
-        yield (made := record(version, name, offset, row))
-        offset += len(made) + 1
-
-
-def emitted(values: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
-    """Batches of about OUT_BYTES."""
-    rows, size = [], 0
-    for x in values:
-        rows.append(x)
-        size += len(x)
-        if size >= OUT_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
-            rows, size = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
+            held += first(version, name)
+        held += end
+        held += record(version, name, len(held), row)
+        n += 1
+    if n:
+        yield whole()
 
 
 def gathered(rows: Iterable[dict], schema: T.StructType, size=lambda r: len(r.get("payload") or "")) -> Iterator[pa.RecordBatch]:
@@ -245,54 +296,84 @@ def write_arc(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "u
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(b["id"].to_pylist(), b["url"].to_pylist(), b["html"].to_pylist(), strict=True))
-        yield from emitted(files("arc", rows, arc_version_block, lambda v, name, at, r: arc_record(v, name, at, r[0], r[1], r[2] or b"")))
+        yield from files("arc", rows, arc_version_block, lambda v, name, at, r: arc_record(v, name, at, r[0], r[1], r[2] or b""), b"\n")
 
     read = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("binary").alias("html"))
     write_lines(read.mapInArrow(run, "value binary"), path, "\n")
 
 
 def write_lines(lines: DataFrame, path: str, end: str) -> None:
-    """Gzip files of a binary column's values as they are, each followed by `end`. Spark's text writer writes a string's
+    """A gzip file of each value of a binary column, as it is, followed by `end`. Spark's text writer writes a string's
     bytes, so the cast keeps those that are no UTF-8."""
     text = lines.select(F.col("value").cast("string"))
-    text.write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", end).option("compression", "gzip").text(path)
+    text.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
-
-
-def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """ARC_ROWS of all records in the files of a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def arc_row(name: str, offset: int, version: int, head: dict[str, str], doc: bytes, problem: str | None) -> dict:
+    """A row of ARC_ROWS. A record with a page's id has an identifier that the page, its payload and the date decide; any
+    other one that file, offset and date decide."""
+    if problem:
+        return {"arc_version": version, "file": name, "offset": offset, "problem": problem}
+    status, http, block, body = http_parts(doc)
+    page, digest = http.get("x-page-id", ""), hashlib.sha1(body).digest()
+    page_id = int(page) if re.fullmatch(r"-?\d{1,18}", page) else None
+    ours = ("page", page_id, digest.hex()) if page_id is not None else ("file", name, offset)
+    return {
+        "page_id": page_id, "url": None if head["URL"] == "-" else head["URL"], "ip": head["IP-address"], "date": head["Archive-date"], "mime": head["Content-type"],
+        "status": status, "arc_version": version, "head": block, "payload": body, "payload_bytes": len(body), "digest": digest, "file": name, "offset": offset,
+        "record_id": record_id(*ours, head["Archive-date"]),
+    }
+
+
+def parsed(spark: SparkSession, path: str) -> DataFrame:
+    """ARC_ROWS of all records and problems in the files of a folder; each file is parsed once."""
     schema = T._parse_datatype_string(ARC_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                for data in b["content"]:
-                    for version, head, doc in arc_records(data.as_py()):
-                        status, http, body = http_parts(doc)
-                        page = http.get("x-page-id")
-                        yield {
-                            "page_id": int(page) if page else None, "url": None if head["URL"] == "-" else head["URL"], "ip": head["IP-address"],
-                            "date": head["Archive-date"], "mime": head["Content-type"], "status": status, "arc_version": version,
-                            "payload": body if payloads else None, "payload_bytes": len(body), "digest": hashlib.sha1(body).digest(),
-                        }
+                for name, data in zip(b["path"].to_pylist(), b["content"], strict=True):
+                    for entry in arc_entries(data.as_py()):
+                        yield arc_row(name.rpartition("/")[2], *entry)
 
         yield from gathered(rows(), schema)
 
     return whole_files(spark, path).mapInArrow(run, schema)
 
 
-def with_references(records: DataFrame, light: DataFrame, least: int = LEAST_BYTES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """`records` with refers_to: of those with equal payloads of at least `least` bytes, the largest page_id, where it
-    isn't the row's own; else null. `light`: the same records, without payloads."""
-    groups = light.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept"))
-    groups = written(groups.where("n > 1 and kept is not null").select(F.col("digest").alias("kept_digest"), "kept"), "archive-groups")
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """ARC_ROWS of all records that can be parsed."""
+    return parsed(spark, path).where("problem is null")
+
+
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, problem) of what can't be parsed."""
+    return parsed(spark, path).where("problem is not null").select("file", "offset", "problem")
+
+
+def with_references(records: DataFrame, least: int = LEAST_BYTES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """`records`, a table, with refers_to and refers_to_record: of those with equal payloads of at least `least` bytes, the
+    largest page_id and its record, where that isn't the row's own; else null.
+
+    Payloads are shuffled only if more than `most_broadcast` groups have several records. Then records of payloads that are
+    too small stay where they are, and groups of over HOT_ROWS records are broadcast, so that no task gets all of one."""
+    groups = records.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("kept"), F.max_by("record_id", "page_id").alias("kept_record"))
+    groups = written(groups.where("n > 1 and kept is not null").select(F.col("digest").alias("kept_digest"), "kept", "kept_record", "n"), "archive-groups")
+    meets = F.col("digest") == F.col("kept_digest")
     if groups.count() <= most_broadcast:
-        groups = F.broadcast(groups)
-    joined = records.join(groups, records["digest"] == F.col("kept_digest"), "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))).drop("kept", "kept_digest")
+        joined = records.join(F.broadcast(groups), meets, "left")
+    else:
+        some = F.broadcast(groups.where(F.col("n") > HOT_ROWS))
+        small, large = records.where(F.col("payload_bytes") < least), records.where(F.col("payload_bytes") >= least)
+        hot, others = large.join(some, meets), large.join(some.select("kept_digest"), meets, "left_anti").join(groups.where(F.col("n") <= HOT_ROWS), meets, "left")
+        none = small.withColumns({c: F.lit(None).cast(t) for c, t in groups.dtypes})
+        joined = none.unionByName(hot).unionByName(others)
+    other = ~F.col("page_id").eqNullSafe(F.col("kept"))
+    return joined.withColumns({"refers_to": F.when(other, F.col("kept")), "refers_to_record": F.when(other, F.col("kept_record"))}).drop("kept", "kept_record", "kept_digest", "n")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -301,62 +382,67 @@ def write_warc(records: DataFrame, path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for at in range(0, b.num_rows, 64) for r in b.slice(at, 64).to_pylist())
-        yield from emitted(files("warc", rows, lambda v, name: warc_info(name), lambda v, name, at, r: warc_record(r)))
+        yield from files("warc", rows, lambda v, name: warc_info(name), lambda v, name, at, r: warc_record(r), b"\r\n\r\n")
 
     write_lines(records.mapInArrow(run, "value binary"), path, "\r\n\r\n")
 
 
+def warc_row(head: dict[str, str], block: bytes) -> dict:
+    """A row of WARC_ROWS; verified: digests and lengths are those of what was read."""
+    kind, mime = head["warc-type"], head.get("content-type", "")
+    status, http, _, body = http_parts(block) if mime.startswith("application/http") else (None, {"content-type": mime}, b"", block)
+    own = hashlib.sha1(body).digest()
+    told, length = head.get("warc-payload-digest", ""), int(head.get("x-payload-length", len(body)))
+    digest = base64.b32decode(told[5:]) if told.startswith("sha1:") and len(told) == 37 else own
+    sound = head.get("warc-block-digest") == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+    if kind != "revisit":
+        sound &= own == digest and length == len(body)
+    page, to = head.get("x-page-id"), head.get("x-refers-to-page")
+    return {
+        "page_id": int(page) if page else None, "url": head.get("warc-target-uri"), "record_id": head["warc-record-id"], "date": head["warc-date"], "record_type": kind,
+        "refers_to": int(to) if to else None, "payload_bytes": length, "payload_digest": digest.hex(), "verified": sound, "status": status, "mime": http.get("content-type"),
+    }
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """WARC_ROWS of all response and revisit records; verified: digests and lengths are those of what was read."""
+    """WARC_ROWS of all response, resource and revisit records."""
     schema = T._parse_datatype_string(WARC_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                for data in b["content"]:
-                    for head, block in warc_records(data.as_py()):
-                        if head["warc-type"] not in ("response", "revisit"):
-                            continue
-                        _, http, body = http_parts(block)
-                        digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:"))
-                        full = head["warc-type"] == "response"
-                        sound = head["warc-block-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
-                        if full:
-                            sound &= hashlib.sha1(body).digest() == digest and int(http["content-length"]) == len(body)
-                        page, to = http.get("x-page-id"), head.get("warc-refers-to-page")
-                        yield {
-                            "page_id": int(page) if page else None, "url": head.get("warc-target-uri"), "record_id": head["warc-record-id"], "date": head["warc-date"],
-                            "record_type": head["warc-type"], "refers_to": int(to) if to else None, "payload_bytes": int(http["content-length"]), "payload_digest": digest.hex(), "verified": sound,
-                        }
-
-        yield from gathered(rows(), schema)
+        records = (r for b in batches for data in b["content"] for r in warc_records(data.as_py()))
+        yield from gathered((warc_row(head, block) for head, block in records if head["warc-type"] in ("response", "resource", "revisit")), schema)
 
     return whole_files(spark, path).mapInArrow(run, schema)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, **options) -> None:
-    """ARC files to WARC files.
+def convert(spark: SparkSession, arc_path: str, warc_path: str, **options) -> int:
+    """ARC files to WARC files; returns how many problems, as malformed() lists them, were passed over.
 
-    A record without HTTP headers is all payload. Equal payloads of at least LEAST_BYTES become revisits of the one with
-    the largest page_id; a record without a page_id is a revisit where another has one, and rows that repeat that page_id
-    are all responses. A malformed header line or a length beyond the file raises ValueError.
+    Each ARC file is parsed once. An HTTP response is a response with the head that was archived, any other document a
+    resource of its declared type. Equal payloads of at least LEAST_BYTES become revisits of the one with the largest
+    page_id; a record without a page_id is a revisit where another has one, and rows that repeat that page_id are all
+    responses.
     """
-    write_warc(with_references(read_arc(spark, arc_path), read_arc(spark, arc_path, payloads=False), **options), warc_path)
+    records = written(parsed(spark, arc_path), "arc-records")
+    sound = records.where("problem is null").drop("problem")
+    write_warc(with_references(sound, **options), warc_path)
+    problems = records.where("problem is not null").count()
+    discard(records)
+    return problems
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
     """WARC_ROWS read back after `pages` (page_id, url, html) were written as ARC files and converted to WARC files.
 
     Other columns are ignored, whatever their names. A null or empty html is an empty payload; a null url stays null; a
-    null page_id stays null; rows that repeat give a record each; an empty table gives none.
+    null page_id stays null; rows that repeat give a record each, and share an identifier where page_id and html are equal;
+    a payload of any length is one record; an empty table gives none.
     """
     spark = pages.sparkSession
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc, **options)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    gone = jvm.Path(arc)
-    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    remove(spark, arc)
     return read_warc(spark, warc)
 
 
