@@ -283,3 +283,104 @@ def test_hot_payloads_are_revisits_by_any_plan(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"http://a/{k}", text(k)) for k in range(60)], PAGES)
     one, other = ({r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in A.archived(df, most_broadcast=m).collect()} for m in (1000, 0))
     assert one == other and len(one) == 60 and one[0] == ("revisit", 57, 2000) and one[1] == ("response", None, 0) and one[2] == ("revisit", 5, 1500)
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(k, url, html) for k, (url, html) in enumerate(pages)], PAGES)
+    return [r.text for r in sorted(extracted(df).collect(), key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        # Words of a class that say more than what an element is.
+        ("<article><p class='lead notice-board'>a</p><div id='comment-policy-history'>b</div><p class='menu-of-the-day'>c</p><math><mi>x</mi></math></article>", "a\n\nb\n\nc\n\nx"),
+        ("<article><p>a</p><div class='ad-slot'>b</div><div class='comments-area'>c</div><div class='relatedPosts'>d</div><p class='sidebar'>e</p></article>", "a"),
+        ("<article><div class='post-header'><h1>T</h1></div><div class=header><h2>U</h2></div><p>a</p></article>", "T\n\nU\n\na"),
+        # Articles that are none, in what is closed after them.
+        ("<article><p>a</p></article><section class='comments'><article>b</article><article class='comment'>c</article></section>", "a"),
+        ("<article><p>a</p><article class='comment'>b</article></article>", "a"),
+        ("<nav><ul><li>menu<article><p>a</p></article><nav>x</nav>", "a"),
+        # A teaser beside the article; a main text beside a small article.
+        ("<main><article><p>the article</p></article><div class='teaser'>t</div><p>b</p></main>", "the article"),
+        ("<div><p>" + "long text " * 30 + "</p></div><article><p>card</p></article>", "long text " * 29 + "long text\n\ncard"),
+        ("<main><p>a</p><div role='main'>b</div></main>", "a\n\nb"),
+    ],
+)
+def test_structure_guards_the_article(spark, html, want):
+    assert texts_of(spark, [("http://h/x", html)]) == [want]
+
+
+def test_neighbours_decide_on_doubtful_lines(spark):
+    page = lambda k: f"<article><p>Text {k} of the article</p><p class='notice-strip'>All offers end soon</p><p class='menu-{k}-of-the-day'>Soup number {k}</p></article><p>Site foot</p>"
+    for k, text in enumerate(texts_of(spark, [(f"http://h/{k}", page(k)) for k in range(4)])):
+        assert text == f"Text {k} of the article\n\nSoup number {k}"
+
+
+def test_copies_are_no_neighbours(spark):
+    """Equal pages and near copies in a row, whatever their number: the first page that is neither tells the template."""
+    body = lambda x: "<div>Menu of the site</div>" + "".join(f"<div>{x} {k} of a text that goes on for a while</div>" for k in range(12)) + "<div>Foot of the site</div>"
+    own = lambda x: "\n\n".join(f"{x} {k} of a text that goes on for a while" for k in range(12))
+    pages = [("http://h/a/1", body("One"))] * 9 + [("http://h/a/2", body("One") + "<div>edited</div>"), ("http://h/b", body("Two"))]
+    assert texts_of(spark, pages) == [own("One")] * 9 + [own("One") + "\n\nedited", own("Two")]
+
+
+@pytest.mark.parametrize("rows,most", [(7, 100_000), (1000, 100_000), (7, 0)])
+def test_differencing_is_as_plain_python(spark, monkeypatch, rows, most):
+    """Unmarked pages on several hosts against a version that sorts all pages of a host in one list."""
+    import random
+
+    import weirflow.llm.html as H
+
+    monkeypatch.setattr(H, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(H, "MOST_BROADCAST", most)
+    monkeypatch.setattr(H, "HOT_ROWS", 3)
+    r, pages = random.Random(5), []
+    for k in range(120):
+        host = "abc"[r.randrange(3)]
+        html = "".join(f"<p>{t}</p>" for t in [f"menu of {host}", f"line {r.randrange(6)} here", f"own text {r.randrange(90)} of some length", "foot " * r.randrange(3)])
+        pages.append((f"http://{host}/{r.choice('xyz')}/{r.randrange(40)}", ("<article>" + html + "</article>" if k % 9 == 0 else html)))
+    pages += [pages[0]] * 6
+    cut = {k: H.parsed(html) for k, (_, html) in enumerate(pages)}
+    groups: dict = {}
+    for k, (url, _) in enumerate(pages):
+        host, path = host_path(url)
+        groups.setdefault((host, tuple(cut[k])), []).append((path, url, k))
+    order = sorted((host, *min(x), key) for (host, key), x in groups.items())
+    want = {}
+    for i, (host, path, _, _, key) in enumerate(order):
+        near = [(d, s, order[i + s * (d + 1)]) for s in (-1, 1) for d in range(H.REACH) if 0 <= i + s * (d + 1) < len(order)]
+        near = sorted((x for x in near if x[2][0] == host), key=lambda x: (-len(H.commonprefix([x[2][1], path])), x[0]))
+        gone = H.shared_with([t for t, _ in key], [len(t) for t, _ in key], [[t for t, _ in x[2][4]] for x in near])
+        want[host, key] = "\n\n".join(key[j][0] for j in H.chosen([c for _, c in key], [len(t) for t, _ in key], gone))
+    got = texts_of(spark, pages)
+    assert got == [want[host_path(url)[0], tuple(cut[k])] for k, (url, _) in enumerate(pages)]
+    assert sum("menu" in x for x in got) < len(got) / 3
+
+
+def test_every_page_enters_the_differencing(spark, sf):
+    from weirflow.llm.html import outlines
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert outlines(pages).agg(F.sum("n")).first()[0] == pages.count()
+
+
+def test_repeated_lines_take_no_long():
+    import random
+    import time
+
+    from weirflow.llm.html import by_bits
+
+    began = time.perf_counter()
+    assert len(shared(["x"] * 50_000, ["x"] * 60_000)) == 50_000
+    a, b = ["x", "y"] * 25_000, ["y", "x", "x"] * 16_000
+    assert len(shared(a, b)) >= 40_000
+    r = random.Random(9)
+    assert shared([r.choice("abc") for _ in range(20_000)], [r.choice("abc") for _ in range(20_000)])
+    assert time.perf_counter() - began < 30
+    for _ in range(100):
+        a, b = ([r.choice("abcde") for _ in range(r.randrange(25))] for _ in range(2))
+        places = sorted(by_bits(a, b))
+        assert len(places) == longest(a, b)
+        rest = iter(b)
+        assert all(any(x == y for y in rest) for x in (a[i] for i in places))
