@@ -137,3 +137,119 @@ def test_pipeline_of_odd_rows(spark, sf, tmp_path):
         assert out.count() <= docs.count()
         for name in ("op1_decontaminate", "op3_toxicity", "op4_quality", "op5_hash_tree", "op6_simhash", "op7_rake", "op9_licenses", "op2_webp"):
             assert run(spark, name, d).count() == docs.count()
+
+
+def plain_mixed(x: int) -> int:
+    x = (x ^ x >> 16) * 0x45D9F3B % 2**32
+    x = (x ^ x >> 15) * 0x2C1B3C6D % 2**32
+    return x ^ x >> 16
+
+
+def plain_hash(key: int, salt: int) -> int:
+    return plain_mixed(key % 2**32 ^ plain_mixed((key >> 32) % 2**32 ^ salt))
+
+
+def test_quality_stage_is_as_plain_python(spark, sf, documents):
+    import numpy as np
+
+    from weirflow.llm import quality
+
+    known: dict = {}
+    texts = {d["doc_id"]: (d["text"] or "").encode() for d in documents}
+    for r in pq.read_table(f"{sf}/labels.parquet").to_pylist():
+        if r["quality"] is not None and r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            known[r["doc_id"]] = max(known.get(r["doc_id"], 0), r["quality"])
+    ids = sorted(known)
+    model = quality.fit(np.stack([quality.counted(texts[k]) for k in ids]), np.array([known[k] for k in ids]))
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
+    for k, data in texts.items():
+        v = quality.unit(quality.weighted(quality.counted(data)[None], model["idf"]) @ model["projection"])[0]
+        cosine = model["vectors"] @ v
+        near = cosine >= np.sort(cosine)[-quality.NEIGHBOURS] - 1e-5
+        weight = np.maximum(cosine[near], 0)
+        share = weight @ model["labels"][near] / weight.sum() if v.any() and weight.sum() > 0 else model["prior"]
+        if abs(share - 0.5) > 0.02:
+            assert (k in kept) == (share >= 0.5)
+
+
+def test_mixing_stage_is_as_plain_python(spark, sf, documents):
+    import re
+
+    from weirflow.llm import mixing
+
+    cells, of = Counter(), {}
+    for d in documents:
+        text = d["text"] or ""
+        words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(mixing.UPPER, mixing.LOWER))))
+        held = {name: len(words & set(x)) for name, x in mixing.TOPIC_WORDS.items()}
+        best = max(held, key=held.get)
+        values = {"source": d["source"], "lang": d["lang"], "topic": best if held[best] else None}
+        cell = tuple(v if v in mixing.TARGETS[k] else mixing.OTHER for k, v in values.items())
+        of[d["doc_id"]] = cell
+        cells[cell] += len(re.findall(r"[^ \t\n\x0B\f\r]+", text))
+    goals, total = list(mixing.TARGETS.values()), sum(cells.values())
+    factor = dict.fromkeys(cells, 1.0)
+    for _ in range(200):
+        for k, goal in enumerate(goals):
+            present = {c[k] for c, n in cells.items() if n}
+            scale = sum(goal[x] for x in present)
+            for x in present:
+                now = sum(n * factor[c] for c, n in cells.items() if c[k] == x)
+                for c in cells:
+                    if c[k] == x:
+                        factor[c] *= total * goal[x] / scale / now
+    top = max(factor.values())
+    assert top * total <= mixing.MOST * sum(n * factor[c] for c, n in cells.items())  # no category is too small here
+    want = {k for k, c in of.items() if plain_hash(k, 0x2545F491) / 2**32 < factor[c] / top}
+    got = {r.doc_id for r in corpus_pipeline.mix(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
+    assert got == want and 0 < len(want) < len(of)
+
+
+def test_sharding_stage_is_as_plain_python(spark, sf):
+    import math
+
+    from weirflow.llm.sharding import SHARDS, tree
+
+    def shard(key: int, regions) -> int:
+        h, node, number = plain_hash(key, 0x5BD1E995), 0, 0
+        levels = tree(SHARDS).levels if regions == SHARDS else tree(SHARDS).grown().levels
+        for level, nodes in enumerate(levels):
+            draws = [(-math.log((plain_mixed(h ^ (node * 0x3779B1 + level * 0x10001 + j * 0x9E35 + 1) % 2**32) + 1) / 2**32) / w, j) for j, w in enumerate(nodes[node])]
+            number = min(draws)[1]
+            node = sum(map(len, nodes[:node])) + number
+        return node
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for r in corpus_pipeline.shard(spark, docs, sf).collect():
+        assert (r.shard, r.grown_shard) == (shard(r.doc_id, SHARDS), shard(r.doc_id, SHARDS + 1))
+
+
+def test_stages_take_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.withColumns({"shard": F.lit("x"), "GROWN_SHARD_2": F.lit(1), "mix_p": F.lit(0.5), "near_id": F.lit(7), "label": F.lit(None).cast("int"), "score": F.lit("s"), "fp": F.lit(1), "id": F.lit("i")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        more = ["shard_3", "grown_shard_3"] if name == "sharding" else []
+        assert out.columns == [*odd.columns, *more]
+        assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in stage(spark, docs, sf).select("doc_id").collect())
+
+
+def test_media_columns_are_as_an_own_reading(spark, sf, documents):
+    """media_bytes, media_sha256 and feature, from the files that encoding gives each text, decoded by the general decoder."""
+    import numpy as np
+
+    from weirflow.llm import media, webp
+
+    got = {r.doc_id: r for r in run(spark, "op2_webp", sf).collect()}
+    for d in documents[::7]:
+        data = (d["text"] or "").encode()
+        stored = webp.encode(media.padded(data))
+        r, images = got[d["doc_id"]], webp.decode(stored)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert all((x[..., 0] == x[..., 1]).all() and (x[..., 3] == 255).all() for x in images)
+        p = np.concatenate([x[..., 1].ravel() for x in images]).astype(float)
+        shares = np.array([n / len(p) for n in Counter(p.tolist()).values()])
+        step = np.mean(np.concatenate([np.abs(np.diff(x[..., 1].astype(int), axis=1)).ravel() for x in images]))
+        want = f"{len(images)}x192x{len(p) // 192};mean={p.mean():.4f};entropy={-(shares * np.log2(shares)).sum() + 0.0:.4f};step={step:.4f}"
+        parts = [[float(y.rpartition("=")[2]) for y in x.split(";")[1:]] for x in (r.feature, want)]
+        assert r.feature.split(";")[0] == want.split(";")[0] and np.allclose(*parts, atol=2e-4)
