@@ -422,3 +422,26 @@ def test_large_benchmarks_are_scanned_for_once(spark, monkeypatch):
     odd = d.withColumns({"text_key_0": F.lit(1), "TEXT_KEY_1": F.lit("x")})
     kept = without_items(odd, b, block_bytes=1)
     assert kept.columns == odd.columns and kept.count() == sum(not hit for _, _, hit, _ in contamination(docs, items))
+
+
+def test_notices_hold_their_naming_words(spark, tmp_path):
+    texts = ["Released under the Apache License", "released under the General Public License", "Released under the MIT License", "The MIT text is released under the license of x", "released the license under x y z w v u t s mit"]
+    spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], EMPTY).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.labels.split(",") for r in op9_licenses(spark, str(tmp_path)).collect()}
+    assert ["notice:mit" in got[k] for k in range(5)] == [False, False, True, True, False]
+
+
+def test_naming_is_as_brute_force(spark):
+    templates, naming = {f"t{k}": prose(n, 6) for k, n in enumerate((4, 9))}, {}
+    naming = {label: words(t)[0] for label, t in templates.items()}
+    docs = [(k, prose(RANDOM.randrange(60), 6)) for k in range(80)]
+    got = {r.doc_id: {b.label: (b.word, round(b.containment, 9)) for b in r.notices} for r in scan(spark.createDataFrame(docs, "doc_id long, text string"), templates, {}, 0.5, naming=naming).collect()}
+    for doc, text in docs:
+        w, want = words(text), {}
+        for label, t in templates.items():
+            m, held = len(words(t)), set(words(t))
+            shares = [(len(held & set(w[j : j + 2 * m])) / len(held), -j) for j in range(len(w)) if naming[label] in w[j : j + 2 * m]]
+            share, j = max(shares, default=(0.0, 0))
+            if shares and share >= 0.5:
+                want[label] = round(share, 9)
+        assert {k: v[1] for k, v in got[doc].items()} == want

@@ -6,6 +6,9 @@ at each place of the order, what is shared so far and what is left of the templa
 passes is counted exactly. Blocks of a template of m words are the windows of 2 m words that begin at multiples of m, so a run of
 up to m + 1 words lies in a block wherever it stands. Notices are looked for at every start: a count of the distinct words
 that the window holds slides along the text, so none is lost by where it stands.
+
+A short notice that lacks a word may be another's: released under the Apache license holds four of the five words of the MIT
+notice. So NAMING lists the words without which a block is not a template's.
 """
 
 from __future__ import annotations
@@ -40,23 +43,28 @@ TEMPLATES = {
 }
 
 
+#: Words that must be in a block of the template of a label, whatever share it holds.
+NAMING = {"notice:apache": "apache", "notice:cc-by-nc": "cc nc", "notice:gpl": "general public", "notice:mit": "mit"}
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
     size: int  # its words, repeats included
     order: tuple[bytes, ...]  # its distinct words, rarest first
     least: int  # how many of them a block must hold
+    naming: frozenset[bytes] = frozenset()  # those that it must hold in any case
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
         return self.order[: len(self.order) - self.least + 1]
 
 
-def template(label: str, text: str, frequency: dict[bytes, int], threshold: float) -> Template:
+def template(label: str, text: str, frequency: dict[bytes, int], threshold: float, naming: str = "") -> Template:
     w = words(utf8(text))
     order = tuple(sorted(set(w), key=lambda x: (frequency.get(x, 0), x)))
     # Not a hair more than the share asks for.
-    return Template(label, len(w), order, max(1, math.ceil(threshold * len(order) - 1e-9)))
+    return Template(label, len(w), order, max(1, math.ceil(threshold * len(order) - 1e-9)), frozenset(words(utf8(naming))))
 
 
 def frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> dict[bytes, int]:
@@ -118,11 +126,10 @@ class Scanner:
                 if held + len(t.order) - at - 1 < t.least:
                     break
             else:
-                if held >= t.least:
+                if held >= t.least and t.naming <= block:
                     out.append((t.label, j * t.size, len(w[j * t.size : (j + 2) * t.size]), held / len(t.order)))
         return out
 
-
     def notices(self, w: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, first word, words, containment) of each template's fullest window of 2 m words at any start, the first of
         equals, if it meets the threshold."""
@@ -131,7 +138,7 @@ class Scanner:
         for k in sorted({k for x in have & self.index.keys() for k in self.index[x]}):
             t = self.templates[k]
             wanted = have.intersection(t.order)
-            if len(wanted) < t.least:
+            if len(wanted) < t.least or not t.naming <= have:
                 continue
             width, inside, best, first = 2 * t.size, deque(), 0, 0
             counts: dict[bytes, int] = {}
@@ -146,25 +153,26 @@ class Scanner:
                         counts[old] -= 1
                 inside.append(i)
                 counts[x] = counts.get(x, 0) + 1
-                if len(counts) > best:
+                if len(counts) > best and t.naming <= counts.keys():
                     best, first = len(counts), max(0, i - width + 1)
             if best >= t.least:
                 out.append((t.label, first, len(w[first : first + width]), best / len(t.order)))
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, *, naming: dict[str, str] | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_words, phrases (first word and label of each place), blocks (label, first word, words, containment) and notices
     (the same, of each template's fullest window at any start) per row.
 
     Only `id` and `text` are read, so other columns may have any name. A null, empty or wordless text has no words, places,
     blocks or notices; repeated rows each give a row; a null id stays null; an empty table gives none. A template without words
-    finds nothing; one word's ties in frequency go by the word.
+    finds nothing; one word's ties in frequency go by the word. `naming`: as NAMING, of the templates' own words.
     """
+    naming = naming if naming is not None else NAMING if templates is None else {}
     templates, phrases = TEMPLATES if templates is None else templates, BASE if phrases is None else phrases
     vocabulary = {w for t in templates.values() for w in words(utf8(t))}
     frequency = frequencies(docs, vocabulary, text) if vocabulary else {}
-    scanner = Scanner([template(label, t, frequency, threshold) for label, t in templates.items()], phrases)
+    scanner = Scanner([template(label, t, frequency, threshold, naming.get(label, "")) for label, t in templates.items()], phrases)
 
     listed = lambda found: [{"label": a, "word": b, "n": c, "containment": d} for a, b, c, d in found]
 
@@ -205,14 +213,18 @@ def _sql() -> str:
     quoted = lambda x: "'" + x.decode() + "'"
     place = lambda p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(re.split(" ", p)))
     places = " UNION ALL ".join(f"SELECT k, i - 1 AS word, '{label}' AS label FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE {place(p)}" for p, label in BASE.items())
-    made = [template(label, t, {}, THRESHOLD) for label, t in TEMPLATES.items()]
+    made = [template(label, t, {}, THRESHOLD, NAMING.get(label, "")) for label, t in TEMPLATES.items()]
+    listed = lambda x: f"[{', '.join(map(quoted, sorted(x)))}]"
+    # A fullest window can begin with a word of the template.
     blocks = " UNION ALL ".join(
-        f"SELECT k, '{t.label}' AS label, len(list_intersect(list_distinct(w[j * {t.size} + 1 : (j + 2) * {t.size}]), [{', '.join(map(quoted, t.order))}])) AS held, {len(t.order)} AS size, {t.least} AS least FROM (SELECT k, w, unnest(range(0, (len(w) + {t.size - 1}) // {t.size})) AS j FROM d)"
+        f"SELECT k, '{t.label}' AS label, len(list_intersect(list_distinct(b), {listed(t.order)})) AS held, {len(t.order)} AS size, {t.least} AS least FROM (SELECT k, w[i : i + {2 * t.size - 1}] AS b FROM starts WHERE x IN ({', '.join(map(quoted, t.order))}))"
+        + (f" WHERE list_has_all(b, {listed(t.naming)})" if t.naming else "")
         for t in made
     )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, {split} AS w FROM documents),
 place AS ({places}),
+starts AS (SELECT k, w, i, w[i] AS x FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 block AS (SELECT k, label, held / size AS share FROM ({blocks}) WHERE held >= least),
 p AS (SELECT k, count(*) AS n, min(word) AS a, max(word) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY k),
 l AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM place UNION ALL SELECT k, label FROM block) GROUP BY k),
