@@ -44,10 +44,11 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(p, True)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The frame's rows as a table in the shared folder: its lineage ends there, and no executor's loss takes it along."""
+def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
+    """The frame's rows as a table in the shared folder: its lineage ends there, and no executor's loss takes it along.
+    `options`: of the Parquet writer."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
