@@ -423,7 +423,16 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, **options) -> in
     page_id; a record without a page_id is a revisit where another has one, and rows that repeat that page_id are all
     responses.
     """
-    records = written(parsed(spark, arc_path), "arc-records")
+    return converted(taken(spark, arc_path), warc_path, **options)
+
+
+def taken(spark: SparkSession, arc_path: str) -> DataFrame:
+    """parsed(), as a table."""
+    return written(parsed(spark, arc_path), "arc-records", compression="zstd")
+
+
+def converted(records: DataFrame, warc_path: str, **options) -> int:
+    """convert() from the table of taken(), which is gone afterwards."""
     sound = records.where("problem is null").drop("problem")
     write_warc(with_references(sound, **options), warc_path)
     problems = records.where("problem is not null").count()
@@ -441,8 +450,9 @@ def archived(pages: DataFrame, **options) -> DataFrame:
     spark = pages.sparkSession
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
     write_arc(pages, arc)
-    convert(spark, arc, warc, **options)
+    records = taken(spark, arc)
     remove(spark, arc)
+    converted(records, warc, **options)
     return read_warc(spark, warc)
 
 
