@@ -428,7 +428,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, **options) -> in
 
 def taken(spark: SparkSession, arc_path: str) -> DataFrame:
     """parsed(), as a table."""
-    return written(parsed(spark, arc_path), "arc-records", compression="zstd")
+    return written(parsed(spark, arc_path), "arc-records")
 
 
 def converted(records: DataFrame, warc_path: str, **options) -> int:
