@@ -16,6 +16,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .sharding import M32, Bits, Sql, mixed
 
 OTHER = "(other)"
@@ -40,21 +41,21 @@ TARGETS: Targets = {
     "topic": {"time": 49.0, "state": 25.0, "aim": 25.0, OTHER: 1.0},
 }
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def topic(text: Column, lists: dict[str, list[str]] | None = None) -> Column:
     """The list of which the text has the most different words, the first of equals; null if it has none of any, or no
-    text. Words are runs of digits, ASCII letters and non-ASCII characters, lower-cased in A-Z."""
+    text. Words are runs of digits, ASCII letters and non-ASCII characters of the lower-cased text."""
     lists = TOPIC_WORDS if lists is None else lists
-    words = F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    # One pass over the words finds those of any list; what is left is short.
+    words = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    # One pass over the words finds those of any list; what is left is short, and is bound to a name by transform().
     every = sorted({w for x in lists.values() for w in x})
     held = F.array_intersect(words, F.array(*map(F.lit, every)))
-    # More words go first; of as many, the earlier list.
-    scores = lambda h: [F.struct(F.size(F.array_intersect(h, F.array(*map(F.lit, x)))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, x) in enumerate(lists.items())]
-    best = F.transform(F.array(held), lambda h: F.array_max(F.array(*scores(h))))[0]
-    return F.when(best["n"] > 0, best["name"])
+
+    def best(h: Column) -> Column:
+        n = [F.size(F.array_intersect(h, F.array(*map(F.lit, x)))) for x in lists.values()]
+        # More words go first; of as many, the earlier list.
+        return F.array_max(F.array(*[F.struct(x.alias("n"), F.lit(-k).alias("k"), F.when(x > 0, name).alias("name")) for k, (x, name) in enumerate(zip(n, lists, strict=True))]))
+
+    return F.transform(F.array(held), best)[0]["name"]
 
 
 def token_count(text: Column) -> Column:
@@ -118,7 +119,10 @@ def calibrated(docs: DataFrame, values: dict[str, Column], tokens: Column, targe
     target have probability 1; rows without tokens have their cell's probability; rows that repeat an id have the same draw; null ids count as -1. As rows are packed in one column,
     other columns may have any names. An empty table gives none.
     """
-    rows = docs.select(F.struct("*").alias("mix_row"), tokens.alias("mix_tokens"), F.array(*categories(values, targets)).alias("mix_groups"), draw(F.col(id)).alias("mix_draw"))
+    # The marginals are columns first, as each is used several times.
+    rows = docs.select(F.struct("*").alias("mix_row"), tokens.alias("mix_tokens"), *[v.alias(f"mix_{k}") for k, v in enumerate(values.values())], draw(F.col(id)).alias("mix_draw"))
+    made = {name: F.col(f"mix_{k}") for k, name in enumerate(values)}
+    rows = rows.select("mix_row", "mix_tokens", F.array(*categories(made, targets)).alias("mix_groups"), "mix_draw")
     # At most the product of the targets' sizes, OTHER included.
     most = prod(len(set(targets[name]) | {OTHER}) for name in values)
     cells = sorted((tuple(r[0]), float(r[1])) for r in rows.groupBy("mix_groups").agg(F.sum("mix_tokens")).limit(most + 1).collect())
@@ -139,8 +143,10 @@ def mixture(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
 
 
 def op7_rake(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = calibrated(docs, document_marginals(), token_count(F.col("text")), TARGETS)
+    docs, marginals = spark.read.parquet(f"{sf_dir}/documents.parquet"), document_marginals()
+    # The texts are read once, for a table without them.
+    narrow = written(docs.select("doc_id", token_count(F.col("text")).alias("tokens"), *[v.alias(k) for k, v in marginals.items()]), "mixing-rows")
+    rows = calibrated(narrow, {k: F.col(k) for k in marginals}, F.col("tokens"), TARGETS)
     group = lambda k, name: F.col("mix_groups")[k].alias(name)
     return rows.select(
         F.col("mix_row.doc_id").alias("doc_id"),
@@ -176,7 +182,7 @@ WITH d AS (
          CASE WHEN source IN ({listed(TARGETS['source'])}) THEN source ELSE '{OTHER}' END AS source,
          CASE WHEN lang IN ({listed(TARGETS['lang'])}) THEN lang ELSE '{OTHER}' END AS lang,
          {topic_of} AS topic
-  FROM (SELECT *, list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents)),
+  FROM (SELECT *, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents)),
 cell AS (SELECT source, lang, topic, cast(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL),
 goal AS (SELECT *, cast(1 AS DOUBLE) AS f, {goals} FROM cell),
 {", ".join(steps)},
