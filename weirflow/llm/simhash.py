@@ -156,13 +156,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, mean:
         keyed = written(large.join(deeper, "mask").select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value")), "simhash-deeper")
 
 
-def with_value(rows: DataFrame, keyed: DataFrame, key: str, hot: int | None = None) -> DataFrame:
+def with_value(rows: DataFrame, keyed: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """The inner join of `rows` with `keyed`, whose `key` is unique and whose n counts its rows. The values of hot keys are
-    broadcast, so that no task gets all rows of one."""
-    some = keyed.where(F.col("n") > (HOT_ROWS if hot is None else hot)).drop("n")
+    broadcast, so that no task gets all rows of one. `total`: rows at most, where that is known; few rows have no hot key."""
     plain = rows.join(keyed.drop("n"), key)
-    if some.isEmpty():
+    if total is not None and total <= HOT_ROWS:
         return plain
+    keyed = written(keyed, "simhash-keyed")
+    some = keyed.where(F.col("n") > HOT_ROWS).drop("n")
+    if some.isEmpty():
+        return rows.join(keyed.drop("n"), key)
     others = rows.join(F.broadcast(some.select(key)), key, "left_anti").join(keyed.drop("n"), key)
     return rows.join(F.broadcast(some), key).unionByName(others)
 
@@ -170,19 +173,19 @@ def with_value(rows: DataFrame, keyed: DataFrame, key: str, hot: int | None = No
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each linked node but the smallest of its component, and that smallest. Large-star and small-star by turns."""
     edges, before = written(edges, "simhash-links"), None
+    total = 2 * edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "simhash-least")
-        large = written(with_value(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "simhash-large-star")
-        discard(edges, least)
-        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "simhash-least")
-        small = with_value(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "simhash-small-star")
-        discard(large, least)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = written(with_value(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "simhash-large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_value(large, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        last, edges = edges, written(small, "simhash-small-star")
+        discard(last, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges
-        before = now
+        before, total = now, 2 * now[0]
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radius: int = RADIUS, most: int = SHARD_MOST, mean: int = SHARD_MEAN) -> DataFrame:
@@ -202,7 +205,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     labels = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id"))
     labels = written(labels, "simhash-labels")
     discard(stars, nodes)
-    return with_value(fps, labels, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    return with_value(fps, labels, "fp", fps.count()).select(F.col("id").alias(id), "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, *, most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
