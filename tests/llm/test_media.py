@@ -262,6 +262,61 @@ def test_any_bytes(data, times):
     assert b"".join(x.tobytes() for x in webp.decode_samples(webp.encode(data))) == data
 
 
+def transforms(data: bytes) -> list[int]:
+    """The kind of the first transform of each image."""
+    out = []
+    for chunk in webp.chunks(data):
+        bits = webp.Bits(chunk)
+        bits.read(40)
+        out.append(bits.read(2) if bits.read(1) else -1)
+    return out
+
+
+PREDICTOR, SUBTRACT_GREEN, PALETTE = 0, 2, 3
+LINE = bytes(random.Random(8).choices(range(32, 127), k=192))
+
+
+@pytest.mark.parametrize(
+    "data,kind",
+    [
+        (b"", PALETTE),
+        (b"a", PALETTE),
+        (bytes(random.Random(6).choices(b"01", k=500)), PALETTE),
+        (bytes(random.Random(6).choices(b"01234567", k=900)), PALETTE),
+        (bytes(range(16)) * 60, PALETTE),
+        (bytes(range(17)) * 60, PREDICTOR),  # steps of one from the left
+        (bytes(k // 3 % 256 for k in range(20000)), PREDICTOR),
+        (LINE * 40, PREDICTOR),  # each row is the one above
+        (b"plain words of a text that says nothing twice, 1234567890", SUBTRACT_GREEN),
+        (bytes(random.Random(7).choices(range(256), k=1000)), SUBTRACT_GREEN),
+    ],
+)
+def test_files_have_the_transform_that_fits(data, kind):
+    data = padded(data)
+    stored = webp.encode(data)
+    assert transforms(stored) == [kind]
+    assert b"".join(x.tobytes() for x in webp.decode_samples(stored)) == data
+    (rgba,) = webp.decode(stored)
+    assert (rgba[..., :3] == np.frombuffer(data, np.uint8).reshape(-1, 192, 1)).all() and (rgba[..., 3] == 255).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 16), st.integers(1, 30), st.randoms(use_true_random=False))
+def test_any_width(width, colours, height, r):
+    used = r.sample(range(256), colours)
+    data = bytes(r.choice(used) for _ in range(width * height))
+    (got,) = webp.decode_samples(webp.encode_samples(data, width))
+    assert got.shape == (height, width) and got.tobytes() == data
+
+
+def test_residuals_are_undone():
+    x = np.frombuffer(RANDOM.randbytes(60), np.uint8).reshape(5, 12)
+    for mode in (1, 2):
+        grey = webp.residuals(x, mode).astype(np.uint32) * 0x010101
+        back = webp.unpredict(grey, np.full((1, 1), mode << 8, np.uint32), 9)
+        assert (back >> 8 & 255 == x).all() and (back >> 24 == 255).all()
+
+
 def test_long_payloads_are_several_images():
     data = padded(bytes(RANDOM.randbytes(192 * 9)) + b"tail")
     files = webp.encode(data, rows=4)

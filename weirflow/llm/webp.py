@@ -512,35 +512,120 @@ def repeats(data: bytes, least: int = 24) -> list[tuple[int, int, int]]:
     return out
 
 
+def runs(samples: np.ndarray, least: int = 16) -> list[tuple[int, int, int]]:
+    """(start, length, 1) of runs of one value, but for their first; apart and in order."""
+    edges = np.flatnonzero(samples[1:] != samples[:-1]) + 1
+    starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(samples)]))
+    long = ends - starts > least
+    return [(k, min(4096, b - k), 1) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True) for k in range(a + 1, b, 4096)]
+
+
+def literals(samples: np.ndarray, matches: list[tuple[int, int, int]]) -> np.ndarray:
+    """The samples that no match covers."""
+    if not matches:
+        return samples
+    keep = np.ones(len(samples), bool)
+    for start, length, _ in matches:
+        keep[start : start + length] = False
+    return samples[keep]
+
+
+def cost(samples: np.ndarray) -> float:
+    """Bits that an ideal code takes for the samples."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(samples.size / counts)).sum())
+
+
+def residuals(samples: np.ndarray, mode: int) -> np.ndarray:
+    """What the pixel to the left (1) or above (2) leaves of (height, width) samples; the first row is predicted from the
+    left, and the first column from above, in any mode."""
+    out = samples.copy()
+    out[0, 1:] -= samples[0, :-1]
+    out[1:, 0] -= samples[:-1, 0]
+    out[1:, 1:] -= samples[1:, :-1] if mode == 1 else samples[:-1, 1:]
+    return out
+
+
+def sized(counts: dict[int, int]) -> dict[int, int]:
+    return code_lengths([(c, s) for s, c in counts.items()]) if len(counts) > 1 else dict.fromkeys(counts, 0)
+
+
+def put_palette(out: Out, colours: list[int]) -> None:
+    """The transform's table of grey values: a small image of steps from one to the next."""
+    steps = [b - a for a, b in zip([0, *colours], colours, strict=False)]
+    out.put(1 | 3 << 1 | len(colours) - 1 << 3, 11)
+    out.put(0, 1)  # no colour cache
+    grey, alpha = ({x: y.count(x) for x in y} for y in (steps, [255] + [0] * (len(steps) - 1)))
+    greys, alphas = sized(grey), sized(alpha)
+    for lengths, size in ((greys, 280), (greys, 256), (greys, 256), (alphas, 256), ({0: 0}, 40)):
+        put_code(out, lengths, size)
+    grey_codes, alpha_codes = canonical(greys), canonical(alphas)
+    for k, x in enumerate(steps):
+        for _ in range(3):
+            out.put(grey_codes[x], greys[x])
+        a = 0 if k else 255
+        out.put(alpha_codes[a], alphas[a])
+
+
+def put_predictor(out: Out, mode: int) -> None:
+    """The transform with one mode for all blocks: an image of one colour, whose pixels take no bits."""
+    out.put(1 | 0 << 1 | 7 << 3, 6)  # blocks of 512
+    out.put(0, 1)  # no colour cache
+    for symbol, size in ((mode, 280), (0, 256), (0, 256), (255, 256), (0, 40)):
+        put_code(out, {symbol: 0}, size)
+
+
 def encode_samples(data: bytes, width: int = WIDTH) -> bytes:
-    """A WebP file of grey samples, `width` a row. After subtracting green, only green is left to code."""
-    n, height = len(data), len(data) // width
-    out = Out()
+    """A WebP file of grey samples, `width` a row.
+
+    Up to 16 different samples have a palette, of which several make a pixel. Others are coded as they are or, where that
+    takes fewer bits, by what their neighbours leave of them. After subtracting green, only green is left to code. A colour
+    cache or the cross-colour transform can't make grey samples smaller.
+    """
+    samples, height, out = np.frombuffer(data, np.uint8), len(data) // width, Out()
     out.put(0x2F | width - 1 << 8 | height - 1 << 22, 40)
-    out.put(1 | 2 << 1, 3)  # subtract green
+    colours = np.flatnonzero(np.bincount(samples, minlength=256))
+    alpha = 255
+    if len(colours) <= 16:
+        put_palette(out, colours.tolist())
+        per = 8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2
+        index = np.zeros((height, -(-width // per) * per), np.uint8)
+        index[:, :width] = np.searchsorted(colours, samples).reshape(height, width)
+        places = np.arange(per, dtype=np.uint8) * (8 // per)
+        samples = (index.reshape(height, -1, per) << places).sum(axis=2, dtype=np.uint8).ravel()
+        matches = runs(samples)
+    else:
+        matches = repeats(data)
+        least, grid = cost(literals(samples, matches)), samples.reshape(height, width)
+        mode = min((1, 2), key=lambda k: cost(residuals(grid, k)))
+        if cost(residuals(grid, mode)) < least:
+            put_predictor(out, mode)
+            samples, alpha = residuals(grid, mode).ravel(), 0
+            matches = runs(samples)
+        out.put(1 | 2 << 1, 3)  # subtract green
     out.put(0, 3)  # no more transforms, no colour cache, one group of codes
-    matches = repeats(data)
+    body = put_samples(out, samples, matches, alpha)
+    pad = len(body) % 2
+    return b"RIFF" + struct.pack("<I", 12 + len(body) + pad) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + b"\0" * pad
+
+
+def put_samples(out: Out, samples: np.ndarray, matches: list[tuple[int, int, int]], alpha: int) -> bytes:
+    """The stream: what is in `out`, codes, and the samples as an image whose alpha is the same everywhere."""
     codes = [(prefix(length), prefix(away + 120)) for _, length, away in matches]
-    samples = np.frombuffer(data, np.uint8)
-    literal = samples
-    if matches:
-        keep = np.ones(n, bool)
-        for start, length, _ in matches:
-            keep[start : start + length] = False
-        literal = samples[keep]
+    literal = literals(samples, matches)
     counts = np.bincount(literal, minlength=256).tolist()
     green = {s: c for s, c in enumerate(counts) if c}
     far: dict[int, int] = {}
     for (a, _, _), (b, _, _) in codes:
         green[256 + a] = green.get(256 + a, 0) + 1
         far[b] = far.get(b, 0) + 1
-    sized = lambda x: code_lengths([(c, s) for s, c in x.items()]) if len(x) > 1 else dict.fromkeys(x, 0)
     green_lengths, far_lengths = sized(green), sized(far)
     green_codes, far_codes = canonical(green_lengths), canonical(far_lengths)
     put_code(out, green_lengths, 280)
     put_code(out, {0: 0}, 256)
     put_code(out, {0: 0}, 256)
-    put_code(out, {255: 0}, 256)
+    put_code(out, {alpha: 0}, 256)
     put_code(out, far_lengths, 40)
     bits_of, length_of = np.zeros(256, np.uint64), np.zeros(256, np.int64)
     for s, c in green_codes.items():
@@ -570,9 +655,7 @@ def encode_samples(data: bytes, width: int = WIDTH) -> bytes:
     rest = bytearray(words.tobytes())
     for k, c in enumerate(head[whole:]):
         rest[k] |= c
-    body = head[:whole] + bytes(rest[: (total + 7) // 8])
-    pad = len(body) % 2
-    return b"RIFF" + struct.pack("<I", 12 + len(body) + pad) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + b"\0" * pad
+    return head[:whole] + bytes(rest[: (total + 7) // 8])
 
 
 def encode(payload: bytes, width: int = WIDTH, rows: int = MOST_ROWS) -> bytes:
