@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.kernels import duplicated, grown, kv_key, kv_text, kv_val, repeated_if_even, tokens
 from weirflow.operators import Filter, FlatMap, FoldReduce, Map, PyFlatMap, PyFoldReduce, PyMap, Python, Reduce, ReduceByKey, kv
-from weirflow.operators.reduce import WindowByKey, numbered
+from weirflow.operators.reduce import WindowByKey, batched, numbered
 
 RANDOM = random.Random(7)
 
@@ -208,6 +208,21 @@ def test_any_kernel_by_any_key(spark, key):
     assert sorted((repr(r.key), r.val) for r in ReduceByKey(lambda a, b: a + b).apply(df).collect()) == want
 
 
+def test_a_key_has_few_values_to_shuffle(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        df = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 2 == 0, "k").alias("key"), F.col("id").alias("val"))
+        parts = batched(df)
+        assert sorted((r.key or "", len(r.vals)) for r in parts.collect()) == [("", 500)] * 4 + [("k", 500)] * 4
+        total = Reduce(lambda a, b: a + b, "val").apply(df).collect()
+        assert [r.val for r in total] == [sum(range(4000))]
+        assert batched(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_number_of_tasks(spark):
     df = frame(spark, some())
     many = Map(lambda r: kv(r.key, r.val)).par(5).apply(df)

@@ -35,6 +35,8 @@ Kernel = str | Callable[[Column, Column], Column]
 
 #: A key with more records in a bag has its count windows numbered in many tasks.
 HOT_ROWS = 1_000_000
+#: Bytes of records that a task gathers before column expressions fold each key's values of them.
+FOLD_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -96,19 +98,29 @@ class ReduceByKey(Operator):
 
 
 def batched(df: DataFrame) -> DataFrame:
-    """(key, vals): the values of each key in each Arrow batch; nothing is shuffled."""
+    """(key, vals): the values of each key in each FOLD_BYTES of a partition; nothing is shuffled."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     read = df.select("key", "val")
     kind = T.StructType([read.schema["key"], T.StructField("vals", T.ArrayType(read.schema["val"].dataType))])
     arrow = to_arrow_schema(kind)
 
+    def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+        order, starts = by_equal(batch["key"])
+        vals = pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), batch["val"].take(order))
+        keys = batch["key"].take(order.take(pa.array(starts, pa.int64()))) if len(starts) else batch["key"].slice(0, 0)
+        return pa.RecordBatch.from_arrays([keys, vals.cast(arrow.field("vals").type)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            order, starts = by_equal(batch["key"])
-            vals = pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), batch["val"].take(order))
-            keys = batch["key"].take(order.take(pa.array(starts, pa.int64()))) if len(starts) else batch["key"].slice(0, 0)
-            yield pa.RecordBatch.from_arrays([keys, vals.cast(arrow.field("vals").type)], schema=arrow)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= FOLD_BYTES:
+                yield from map(grouped, pa.Table.from_batches(held).combine_chunks().to_batches())
+                held, size = [], 0
+        if held:
+            yield from map(grouped, pa.Table.from_batches(held).combine_chunks().to_batches())
 
     return read.mapInArrow(run, kind)
 
