@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import reduce
 
 import pytest
@@ -12,8 +12,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weirflow.functions.kernels import duplicated, grown, kv_key, kv_text, kv_val, repeated_if_even, tokens
-from weirflow.operators import Filter, FlatMap, FoldReduce, Map, PyFlatMap, PyFoldReduce, PyMap, Python, Reduce, ReduceByKey, kv
+from weirflow.operators import Counted, Filter, FlatMap, FoldReduce, Map, PyFlatMap, PyFoldReduce, PyMap, Python, Reduce, ReduceByKey, kv
 from weirflow.operators.reduce import WindowByKey, batched, numbered
+from weirflow.plans.pipe import PipeTypeError, same_type
 
 RANDOM = random.Random(7)
 
@@ -223,6 +224,20 @@ def test_a_key_has_few_values_to_shuffle(spark):
         spark.conf.set(name, before)
 
 
+def test_counted(spark):
+    df = spark.createDataFrame([("a", 1.5), ("a", 1.5), (None, 1.5), (None, 1.5), ("a", None)], "`k.1` string, v double")
+    once = Counted().apply(df)
+    assert once.columns == ["k.1", "v", "n"]
+    assert Counter(map(tuple, once.collect())) == Counter([("a", 1.5, 2), (None, 1.5, 2), ("a", None, 1)])
+    again = Counted(of="n").apply(once.union(once))
+    assert same_type(again.schema, once.schema)
+    assert Counter(map(tuple, again.collect())) == Counter([("a", 1.5, 4), (None, 1.5, 4), ("a", None, 2)])
+    assert Counted().apply(df.limit(0)).count() == 0
+    for clash in (lambda: Counted().apply(once), lambda: Counted(of="n").apply(df)):
+        with pytest.raises(PipeTypeError):
+            clash()
+
+
 def test_number_of_tasks(spark):
     df = frame(spark, some())
     many = Map(lambda r: kv(r.key, r.val)).par(5).apply(df)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.operators import FlatMap, JoinFlatMapByKey, Map, PyJoinFlatMapByKey, ReduceByKey, kv, pair
+from weirflow.functions.kernels import grown
+from weirflow.operators import Counted, FlatMap, JoinFlatMapByKey, Map, PyJoinFlatMapByKey, ReduceByKey, kv, pair
 from weirflow.plans.graph import Graph, semantics, to_dotfile
 from weirflow.plans.pipe import BAG, STREAM, FixedIterations, Frame, Pipe, PipeError, PipeTypeError, Until
 from weirflow.sources import Collect, ReadFromFile, ReadFromSocket, WriteToDisk, WriteToFile, WriteToStdOut
@@ -193,6 +196,24 @@ def test_iterate_cuts_its_lineage(spark):
     assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_iterate_passes_numbers_of_equal_records_on(spark):
+    twice = Pipe(FlatMap(lambda r: F.array(r.value, r.value), keep=("n",))).add(Counted(of="n"))
+    out = numbers(spark, 2).add(Counted()).to(twice.iterate(40, cut_every=10)).compile(spark)
+    assert sorted(map(tuple, out.collect())) == [(0, 2**40), (1, 2**40)]
+
+
+def test_iterate_gives_each_record_as_often_counted_or_not(spark):
+    rows = [(k, v) for k in ("a", "b", None) for v in (*range(-30, 31, 7), 3, 3, 10, None)]
+    grow = lambda r: F.transform(grown(r.val), lambda v: pair(r.key, v))
+    for n in (1, 2, 3):
+        plain = records(spark, *rows).to(Pipe(FlatMap(grow)).iterate(n)).compile(spark)
+        step = Pipe(FlatMap(grow, keep=("n",))).add(Counted(of="n"))
+        counted = records(spark, *rows).add(Counted()).to(step.iterate(n)).compile(spark)
+        assert counted.columns == ["key", "val", "n"]
+        got = [tuple(r) for r in counted.collect()]
+        assert {(k, v): c for k, v, c in got} == Counter(map(tuple, plain.collect())) and len(got) == len({x[:2] for x in got})
+
+
 def test_iterate_computes_the_other_side_once(spark, tmp_path):
     from weirflow.plans.pipe import Source
 

@@ -2,6 +2,6 @@
 
 from .elements import Filter, FlatMap, Map, PyFlatMap, PyMap, Row, kv, pair
 from .join import JoinFlatMapByKey, PyJoinFlatMapByKey
-from .reduce import FoldReduce, PyFoldReduce, Python, Reduce, ReduceByKey, WindowByKey
+from .reduce import Counted, FoldReduce, PyFoldReduce, Python, Reduce, ReduceByKey, WindowByKey
 
-__all__ = ["Filter", "FlatMap", "FoldReduce", "JoinFlatMapByKey", "Map", "PyFlatMap", "PyFoldReduce", "PyJoinFlatMapByKey", "PyMap", "Python", "Reduce", "ReduceByKey", "Row", "WindowByKey", "kv", "pair"]
+__all__ = ["Counted", "Filter", "FlatMap", "FoldReduce", "JoinFlatMapByKey", "Map", "PyFlatMap", "PyFoldReduce", "PyJoinFlatMapByKey", "PyMap", "Python", "Reduce", "ReduceByKey", "Row", "WindowByKey", "kv", "pair"]
